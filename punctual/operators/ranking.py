@@ -32,6 +32,7 @@ def prefix_sums(
     n_buckets: int = DEFAULT_BUCKETS,
     suffix: str = "_cum",
     splits: Sequence[float] | None = None,
+    partition_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Running (inclusive) sums of ``values`` in the order ``order``.
 
@@ -39,8 +40,10 @@ def prefix_sums(
     numeric and non-null and drives the bucketing (ties on it share a
     bucket), the rest break ties.  Bucket bounds come from approximate
     quantiles of that column unless ``splits`` is given.  Output adds
-    ``<value><suffix>`` per value column.
+    ``<value><suffix>`` per value column.  With ``partition_cols`` the sums
+    restart per partition (e.g. per model); bucket bounds are shared.
     """
+    pc = list(partition_cols)
     first, first_desc = order[0]
     full = list(splits) if splits is not None else _bucket_splits(df, first, n_buckets)
     nb = len(full) - 1
@@ -49,13 +52,14 @@ def prefix_sums(
     bucket = (F.lit(nb - 1) - F.col("_bq")) if first_desc else F.col("_bq")
     b = b.withColumn("_b", bucket.cast("int")).drop("_bx", "_bq")
 
-    totals = b.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
-                                    for v in values])
+    totals = b.groupBy(*pc, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*pc, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
+                                         for v in values])
     ordering: list[Column] = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
-    w = Window.partitionBy("_b").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = b.join(F.broadcast(offsets), "_b")  # at most n_buckets + 1 rows
+    w = Window.partitionBy(*pc, "_b").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # offsets: (partitions x buckets) aggregated rows; broadcast only without partitions (bounded by B).
+    out = b.join(F.broadcast(offsets) if not pc else offsets, [*pc, "_b"])
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_o_{v}") + F.sum(v).over(w))
     return out.drop("_b", *[f"_o_{v}" for v in values])
