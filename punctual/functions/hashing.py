@@ -58,7 +58,7 @@ def sql_hash_mod(key_sql: str, salt: str, n_sql: str) -> str:
 
 
 def sql_normal(key_sql: str, salt: str, mean: float = 0.0, std: float = 1.0) -> str:
-    u1 = f"(1.0 - {sql_uniform(key_sql, salt + '#u1')})"
+    u1 = f"(CAST(1.0 AS DOUBLE) - {sql_uniform(key_sql, salt + '#u1')})"
     u2 = sql_uniform(key_sql, salt + "#u2")
     return (f"(CAST({float(mean)!r} AS DOUBLE) + CAST({float(std)!r} AS DOUBLE) * "
-            f"sqrt(-2.0 * ln({u1})) * cos(CAST({2.0 * math.pi!r} AS DOUBLE) * {u2}))")
+            f"(sqrt(CAST(-2.0 AS DOUBLE) * ln({u1})) * cos(CAST({2.0 * math.pi!r} AS DOUBLE) * {u2})))")
