@@ -1 +1,155 @@
-"""Queries (filled in below)."""
+"""Queries for encoding, models, scoring and explanation.
+
+Model fits are not bit-identical across engines, so model queries carry no
+SQL twin (rows-only check); encoder statistics and vocabularies do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from punctual.operators import aggregates as A
+from punctual.operators import encode as E
+from punctual.operators import explain as XP
+from punctual.operators import models as M
+from punctual.operators import prep
+from punctual.plans import experiments as EX
+from punctual.plans.registry import register, with_trips
+from punctual.sources.fixture import trips
+
+R6 = 6
+_SCALE_COLS = ["stop_distance_km", "temperature_celsius", "time_of_day"]
+
+
+def _s_scaled(c: str, with_mean: bool) -> str:
+    mean = f"avg({c}) OVER ()" if with_mean else "0e0"
+    std = f"coalesce(nullif(stddev_pop({c}) OVER (), 0), 1e0)"
+    return f"round(({c} - {mean}) / {std}, {R6})"
+
+
+@register("standard_scaled", ["M3", "M4"], with_trips(
+    "SELECT trip_key, " + ", ".join(f"{_s_scaled(c, True)} AS {c}" for c in _SCALE_COLS) + ", "
+    + ", ".join(f"{_s_scaled(c, False)} AS {c}_unc" for c in _SCALE_COLS) + " FROM trips"))
+def standard_scaled(spark, sf):
+    """Standardisation with the population std (M3) and scale-only (M4)."""
+    t = trips(spark, sf)
+    full = E.fit_scaler(t, _SCALE_COLS, with_mean=True)
+    only = E.fit_scaler(t, _SCALE_COLS, with_mean=False)
+    base = t.select("trip_key", *_SCALE_COLS)
+    s = E.scale_columns(E.scale_columns(base, only, "_unc"), full)  # "_unc" first: it reads the raw columns
+    return s.select("trip_key", *[F.round(c, R6).alias(c) for c in _SCALE_COLS],
+                    *[F.round(f"{c}_unc", R6).alias(f"{c}_unc") for c in _SCALE_COLS])
+
+
+_VOCAB_COLS = ["route", "traffic_condition", "weather", "special_event", "destination"]
+
+
+@register("category_vocabulary", ["M1", "M2", "M6", "P6"], with_trips(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, level, CAST(row_number() OVER (ORDER BY level) - 1 AS INTEGER) AS slot "
+        f"FROM (SELECT DISTINCT CASE WHEN {c} IS NULL THEN '{'NoEvent' if c == 'special_event' else 'Unknown'}' "
+        f"ELSE {c} END AS level FROM trips)" for c in _VOCAB_COLS)))
+def category_vocabulary(spark, sf):
+    """Alphabetical one-hot vocabulary (slot per level) learned on cleaned trips."""
+    t = prep.clean_categories(trips(spark, sf), _VOCAB_COLS)
+    enc = E.fit_encoder(t, E.EncodingSpec(_VOCAB_COLS, []))
+    rows = [(c, lv, i) for c, levels in E.category_levels(enc).items() for i, lv in enumerate(levels)]
+    return spark.createDataFrame(rows, "column_name string, level string, slot int")
+
+
+@register("main_experiment_summary", ["M1", "M4", "M5", "M7", "M11", "M14", "M16", "A2", "D5", "P6", "P14",
+                                      "V5", "D8"])
+def main_experiment_summary(spark, sf):
+    """Main experiment end to end: summary of LR, boosted trees and baseline."""
+    r = EX.run_main(trips(spark, sf))
+    return r["summary"]
+
+
+@register("lr_top_coefficients", ["M7", "M18", "K3", "X20", "M6"])
+def lr_top_coefficients(spark, sf):
+    """Top-25 LR coefficients by |coef|, re-sorted by signed value."""
+    d = EX.prepare_main(trips(spark, sf))
+    sp = EX.split_main(d, "group")
+    lr = M.train(sp.train, EX.MAIN_SPEC, "Logistic Regression", {"max_iter": 3000}, "balanced")
+    return M.top_by_abs(M.coefficient_table(spark, lr), 25)
+
+
+@register("boosted_shap_summary", ["M11", "M19", "D2"])
+def boosted_shap_summary(spark, sf):
+    """Mean |SHAP| of the boosted model over a 2000-row test sample, top 25."""
+    d = EX.prepare_main(trips(spark, sf))
+    sp = EX.split_main(d, "group")
+    gbt = M.train(sp.train, EX.MAIN_SPEC, "Boosted Trees", {"n_estimators": EX.BOOST_ROUNDS}, "positive")
+    from punctual.operators.builder import sample_without_replacement
+    sample = sample_without_replacement(sp.test, 2000, "trip_key")
+    features = gbt.model.transform(sample).select("trip_key", "features")
+    ens = XP.load_ensemble(spark, gbt.classifier, len(gbt.names))
+    return XP.shap_summary(XP.explain(features, ens, "trip_key"), gbt.names, 25)
+
+
+@register("second_experiment_metrics", ["X3", "X5", "X6", "P10", "P13", "D3", "M3", "M7", "M11", "W3", "W4",
+                                        "IO6"])
+def second_experiment_metrics(spark, sf):
+    """Second experiment: accuracy, macro-F1, balanced accuracy, ROC AUC, AUPRC."""
+    return EX.run_second(trips(spark, sf))["summary"]
+
+
+@register("engine_grid_search", ["M2", "M3", "M5", "M12", "M13", "D7", "V7", "X1", "X4", "P5"])
+def engine_grid_search(spark, sf):
+    """UI engine: LR over C in {0.1, 1, 10}, 5-fold CV by accuracy, metrics record."""
+    r = EX.run_engine(trips(spark, sf), "Logistic Regression", None, 3)
+    return M.training_record(spark, r["scored"], r["best"])
+
+
+@register("engine_tree_importances", ["M8", "M9", "M10", "M17", "K5"])
+def engine_tree_importances(spark, sf):
+    """Top-8 importances of a depth-10 tree, a small forest and boosted model."""
+    d, spec = EX.engine_features(trips(spark, sf))
+    out = None
+    for kind, params in [("Decision Tree Classifier", {"max_depth": 10}),
+                         ("Random Forest Classifier", {"n_estimators": 20, "max_depth": 10, "min_samples_split": 2}),
+                         ("Gradient Boosting Classifier", {"n_estimators": 20, "learning_rate": 0.1,
+                                                           "max_depth": 3})]:
+        m = M.train(d, spec, kind, params)
+        top = M.top_importances(M.importance_table(spark, m), 8).withColumn("model", F.lit(kind))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+@register("cli_tree_report", ["M8", "A9", "A10", "IO3", "M16"])
+def cli_tree_report(spark, sf):
+    """CLI flow with the depth-10 tree: classification report of the test set."""
+    return EX.run_cli(trips(spark, sf), "tree")["report"]
+
+
+@register("score_with_confidence", ["M15", "M16", "X21"])
+def score_with_confidence(spark, sf):
+    """Batch scoring: Late probability, prediction at 0.5, confidence and
+    on-time probability for every test trip."""
+    r = EX.run_cli(trips(spark, sf), "logreg")
+    return M.with_status(r["scored"])
+
+
+@register("model_roundtrip", ["IO7"])
+def model_roundtrip(spark, sf):
+    """Save and reload the fitted pipeline; count rows scored differently."""
+    from punctual.session import shared_path
+    r = EX.run_cli(trips(spark, sf), "logreg")
+    path = shared_path(spark, "model-roundtrip")
+    M.save_model(r["model"], path)
+    back = M.load_model(path, EX.CLI_SPEC)
+    test = r["scored"].select("trip_key")
+    d = prep.label_trips(trips(spark, sf), keep_status=True)
+    d = prep.fill_event(d).join(test, "trip_key")
+    a = M.score(r["model"], d, keep=["trip_key"]).withColumnRenamed("score", "s1")
+    b = M.score(back, d, keep=["trip_key"]).withColumnRenamed("score", "s2")
+    j = a.select("trip_key", "s1").join(b.select("trip_key", "s2"), "trip_key")
+    return j.agg(F.count(F.lit(1)).alias("n_scored"),
+                 F.sum(F.when(F.col("s1") != F.col("s2"), 1).otherwise(0)).cast("bigint").alias("n_different"))
+
+
+@register("confusion_by_model", ["A9", "V6"])
+def confusion_by_model(spark, sf):
+    """Confusion matrices of the main experiment's three models."""
+    r = EX.run_main(trips(spark, sf))
+    return A.confusion_matrix(r["scored"], by=["model"])
