@@ -65,7 +65,7 @@ def main_experiment_summary(spark, sf):
     return r["summary"]
 
 
-@register("lr_top_coefficients", ["M7", "M18", "K3", "X20", "M6"])
+@register("lr_top_coefficients", ["M7", "M18", "K3", "K4", "X20", "M6"])
 def lr_top_coefficients(spark, sf):
     """Top-25 LR coefficients by |coef|, re-sorted by signed value."""
     d = EX.prepare_main(trips(spark, sf))

@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming entry points (scoring of arriving trips)."""
