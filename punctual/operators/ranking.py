@@ -95,8 +95,9 @@ def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int = DEFAULT_B
     """Exact medians (mean of the two middle values for even n), NULL/NaN ignored.
 
     All columns are stacked into one (column, value) -> count aggregate with
-    map-side combine; running counts over the distinct values of each column
-    locate its middle ranks.  No task ever holds all values of a column.
+    map-side combine; running counts over the distinct values of every
+    column (one bucketed pass, restarting per column) locate the middle
+    ranks.  No task ever holds all values of a column.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols]))
     vals = (df.select(pairs.alias("_p")).select("_p._c", "_p._v")
@@ -105,18 +106,20 @@ def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int = DEFAULT_B
               .persist())
     try:
         counts = {r["_c"]: r["_t"] for r in vals.groupBy("_c").agg(F.sum("_n").alias("_t")).collect()}
-        out: dict[str, float | None] = {}
-        for c in cols:
-            n = counts.get(c)
-            if not n:
-                out[c] = None
-                continue
-            lo, hi = (n - 1) // 2, n // 2
-            cum = prefix_sums(vals.where(F.col("_c") == c), [("_v", False)], ["_n"], n_buckets=n_buckets)
-            start = F.col("_n_cum") - F.col("_n")
-            hits = cum.where(((start <= lo) & (F.col("_n_cum") > lo)) | ((start <= hi) & (F.col("_n_cum") > hi)))
-            picked = hits.agg(F.min("_v").alias("a"), F.max("_v").alias("b")).first()
-            out[c] = (picked["a"] + picked["b"]) / 2.0
+        present = [c for c in cols if counts.get(c)]
+        out: dict[str, float | None] = {c: None for c in cols}
+        if not present:
+            return out
+        cum = prefix_sums(vals, [("_v", False)], ["_n"], n_buckets=n_buckets, partition_cols=["_c"])
+        start = F.col("_n_cum") - F.col("_n")
+        cond = None
+        for c in present:
+            lo, hi = (counts[c] - 1) // 2, counts[c] // 2
+            hit = (F.col("_c") == c) & (((start <= lo) & (F.col("_n_cum") > lo)) |
+                                       ((start <= hi) & (F.col("_n_cum") > hi)))
+            cond = hit if cond is None else cond | hit
+        for r in cum.where(cond).groupBy("_c").agg(F.min("_v").alias("a"), F.max("_v").alias("b")).collect():
+            out[r["_c"]] = (r["a"] + r["b"]) / 2.0
         return out
     finally:
         vals.unpersist()

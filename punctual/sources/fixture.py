@@ -46,8 +46,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
     # nation/region are tiny dimension tables; the bound is checked, not assumed.
-    geo = nation.join(broadcast_if_small(region, 10_000), nation.n_regionkey == region.r_regionkey)
-    sup = supplier.join(broadcast_if_small(geo, 10_000), supplier.s_nationkey == geo.n_nationkey) \
+    geo = nation.join(broadcast_if_small(region, 10_000, f"{sf_dir}/region"), nation.n_regionkey == region.r_regionkey)
+    sup = supplier.join(broadcast_if_small(geo, 10_000, f"{sf_dir}/nation*region"),
+                        supplier.s_nationkey == geo.n_nationkey) \
         .select("s_suppkey", "r_name")
     b = (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .join(part, li.l_partkey == part.p_partkey)

@@ -9,6 +9,8 @@ where it stopped.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,7 +32,9 @@ def score_stream(model: TrainedModel, stream: DataFrame, sink_path: str, name: s
     """Append (inputs, score, prediction, confidence, status, timestamp) to ``sink_path``."""
     scored = with_status(score(model, stream, threshold, keep=keep)).withColumn("logged_at", F.current_timestamp())
     writer = (scored.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", shared_path(stream.sparkSession, f"stream-ckpt-{name}"))
+              # one checkpoint per (query name, sink): a restart resumes, a new sink starts fresh
+              .option("checkpointLocation", shared_path(
+                  stream.sparkSession, f"stream-ckpt-{name}-{hashlib.md5(sink_path.encode()).hexdigest()[:12]}"))
               .option("path", sink_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.queryName(name).start()
