@@ -11,6 +11,10 @@ from punctual.functions.hashing import hash_mod
 
 # Upper bound on rows shipped to every executor by ``broadcast_if_small``.
 DEFAULT_BROADCAST_ROWS = 1_000_000
+# Hash buckets of ``dense_index``: each bucket is ranked by one window
+# partition, so 2^15 buckets keep a partition near 3*10^7 rows at 10^12 rows,
+# while the bucket-offset table (2^15 rows) stays small enough to broadcast.
+DENSE_BUCKETS = 1 << 15
 
 
 _SIZE_CHECKS: dict[tuple[str, int], int | None] = {}
@@ -37,14 +41,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, me
 
 
 def dense_index(df: DataFrame, key_cols: Sequence[str], index_col: str = "idx",
-                n_buckets: int = 64, salt: str = "dense") -> DataFrame:
+                n_buckets: int = DENSE_BUCKETS, salt: str = "dense") -> DataFrame:
     """Attach a dense 0..n-1 index, ordered by (hash bucket, keys).
 
     Rows are spread over ``n_buckets`` hash buckets of their key; bucket
     sizes (a B-row table) give each bucket's offset, and a row's index is the
     offset plus its rank inside the bucket.  No window runs over all rows,
     the result does not depend on partitioning, and keys must be unique.
-    Raise ``n_buckets`` with the data so each bucket fits one task.
     """
     key_text = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key_cols])
     b = df.withColumn("_bucket", hash_mod(key_text, salt, F.lit(n_buckets)))

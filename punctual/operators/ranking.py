@@ -15,7 +15,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+# Quantile buckets of ``prefix_sums`` (distinct values per window partition
+# ~ D/1024) and uniform buckets of ``uniform_rank`` (rows per window
+# partition ~ N/(groups * 2^15)).  Both offset tables stay small.
+DEFAULT_BUCKETS = 1024
+UNIFORM_BUCKETS = 1 << 15
 
 
 def _bucket_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
@@ -71,7 +75,7 @@ def uniform_rank(
     u_col: str,
     tie_cols: Sequence[str],
     rank_col: str = "rank",
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int = UNIFORM_BUCKETS,
 ) -> DataFrame:
     """0-based rank of each row within ``group_cols`` ordered by (u, ties).
 

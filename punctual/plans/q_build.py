@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from punctual.functions import features as X
 from punctual.functions.hashing import sql_hash_mod, sql_normal, sql_uniform
 from punctual.operators import builder as B
+from punctual.operators.joins import DENSE_BUCKETS
 from punctual.operators import prep
 from punctual.plans.registry import register, with_trips
 from punctual.sources.fixture import trips
@@ -21,7 +22,7 @@ S_LABELLED = """
         FROM trips WHERE delay_minutes IS NOT NULL)"""
 
 
-def s_dense(src: str, keys: list[str], salt: str, idx: str, n_buckets: int = 64) -> str:
+def s_dense(src: str, keys: list[str], salt: str, idx: str, n_buckets: int = DENSE_BUCKETS) -> str:
     key_text = "concat_ws(chr(1), " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
     return (f"SELECT *, row_number() OVER (ORDER BY {sql_hash_mod(key_text, salt, str(n_buckets))}, "
             f"{', '.join(keys)}) - 1 AS {idx} FROM {src}")
