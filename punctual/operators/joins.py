@@ -40,23 +40,32 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, me
     return F.broadcast(df) if row_count_at_most(df, max_rows, memo_key) is not None else df
 
 
-def dense_index(df: DataFrame, key_cols: Sequence[str], index_col: str = "idx",
-                n_buckets: int = DENSE_BUCKETS, salt: str = "dense") -> DataFrame:
-    """Attach a dense 0..n-1 index, ordered by (hash bucket, keys).
+def dense_index_with_count(df: DataFrame, key_cols: Sequence[str], index_col: str = "idx",
+                           n_buckets: int = DENSE_BUCKETS, salt: str = "dense") -> tuple[DataFrame, int]:
+    """Attach a dense 0..n-1 index, ordered by (hash bucket, keys); also return n.
 
     Rows are spread over ``n_buckets`` hash buckets of their key; bucket
-    sizes (a B-row table) give each bucket's offset, and a row's index is the
-    offset plus its rank inside the bucket.  No window runs over all rows,
-    the result does not depend on partitioning, and keys must be unique.
+    sizes (a B-row table, computed once and kept) give each bucket's offset
+    and the row count, and a row's index is the offset plus its rank inside
+    the bucket.  No window runs over all rows, the result does not depend on
+    partitioning, and keys must be unique.
     """
     key_text = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key_cols])
     b = df.withColumn("_bucket", hash_mod(key_text, salt, F.lit(n_buckets)))
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).persist()  # <= n_buckets rows
+    n = sizes.agg(F.sum("_n")).first()[0] or 0
     offsets = sizes.select(
         "_bucket",
         (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
     w = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in key_cols])
-    return (b.join(F.broadcast(offsets), "_bucket")  # B rows: bounded by the parameter
+    out = (b.join(F.broadcast(offsets), "_bucket")  # B rows: bounded by the parameter
              .withColumn(index_col, F.col("_off") + F.row_number().over(w) - F.lit(1))
              .drop("_bucket", "_off"))
+    return out, int(n)
+
+
+def dense_index(df: DataFrame, key_cols: Sequence[str], index_col: str = "idx",
+                n_buckets: int = DENSE_BUCKETS, salt: str = "dense") -> DataFrame:
+    """``dense_index_with_count`` without the count."""
+    return dense_index_with_count(df, key_cols, index_col, n_buckets, salt)[0]

@@ -66,7 +66,7 @@ def time_split(df: DataFrame, date_col: str = "date", key: str = "trip_key", tes
     (date, hash of key) train, the rest test.  Only the boundary day needs
     row ranks; the cumulative count runs over the per-day table."""
     d = df.withColumn("_d", parse_date(F.col(date_col))).where(F.col("_d").isNotNull())
-    days = d.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
+    days = d.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).persist()  # one row per day, read 3 times
     n = days.agg(F.sum("_n")).first()[0] or 0
     cutoff = int((1 - test_size) * n)
     cum = prefix_sums(days.withColumn("_dn", F.datediff("_d", F.lit("1970-01-01"))), [("_dn", False)], ["_n"])

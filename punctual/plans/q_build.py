@@ -68,11 +68,8 @@ def build_trip_table(spark, sf):
     """Timetable (distinct trips) x calendar from the first trip date, sized to
     the trip count, each row with one context trip drawn with replacement."""
     t = prep.label_trips(trips(spark, sf))
-    tt = t.select(*TT).distinct()
-    n_tt = tt.count()
     target, start = t.agg(F.count(F.lit(1)), F.min("date")).first()
-    start, days = B.plan_days(n_tt, target, start, start)
-    return B.build_trip_table(tt, t, start, days, "trip_key", SEED)
+    return B.build_trip_table(t.select(*TT), t, start, None, "trip_key", SEED, target_rows=target)
 
 
 def _s_boot_src() -> str:
