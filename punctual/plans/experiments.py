@@ -41,14 +41,19 @@ def prepare_main(trips: DataFrame, row_id: str = "trip_key") -> DataFrame:
     d = prep.label_trips(trips)
     prep.require_columns(d, prep.EXPERIMENT_FEATURES)
     d = prep.clean_categories(d, prep.EXPERIMENT_CATEGORIES)
-    d = prep.coerce_numeric(d, prep.EXPERIMENT_NUMERICS).persist()  # read by the median fit and the dedup
-    d = prep.impute_median(d, prep.EXPERIMENT_NUMERICS)
+    cleaned = prep.coerce_numeric(d, prep.EXPERIMENT_NUMERICS).persist()  # read by the median fit and the dedup
+    d = prep.impute_median(cleaned, prep.EXPERIMENT_NUMERICS)
     carry = [c for c in ("date", "departure_time") if c in d.columns]
-    return A.dedup_keep_first(d, prep.EXPERIMENT_FEATURES + ["label"], row_id, carry)
+    out = A.dedup_keep_first(d, prep.EXPERIMENT_FEATURES + ["label"], row_id, carry)
+    # The prepared table feeds the split and every model: write it once to the
+    # shared checkpoint folder (cuts lineage, survives executor loss).
+    out = out.checkpoint(eager=True)
+    cleaned.unpersist()
+    return out
 
 
 def split_main(d: DataFrame, mode: str = "group", row_id: str = "trip_key", seed: int = 42) -> Split:
-    s = S.split(d, mode, "label", row_id, 0.2, seed, prep.EXPERIMENT_FEATURES)
+    s = S.split(d, mode, "label", row_id, 0.2, seed, prep.EXPERIMENT_FEATURES).persist()  # both halves read it
     return Split(s.where(F.col("split") == S.TRAIN), s.where(F.col("split") == S.TEST))
 
 
@@ -59,7 +64,7 @@ def run_main(trips: DataFrame, mode: str = "group", rounds: int = BOOST_ROUNDS,
     """Returns the fitted models, scored test rows (three models) and summary."""
     d = prepare_main(trips)
     sp = split_main(d, mode, seed=seed)
-    train, test = sp.train.cache(), sp.test.cache()
+    train, test = sp.train, sp.test
     lr = M.train(train, MAIN_SPEC, "Logistic Regression", {"max_iter": 3000}, "balanced")
     gbt = M.train(train, MAIN_SPEC, "Boosted Trees", {"n_estimators": rounds}, "positive", seed=seed)
     keep = ["trip_key", "label"]
