@@ -177,4 +177,4 @@ def union_by_year(spark, sf):
     t = trips(spark, sf)
     u = t.where(F.col("date") < F.lit("1995-01-01").cast("date")).unionByName(
         t.where(F.col("date") >= F.lit("1995-01-01").cast("date")))
-    return u.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n_trips"))
+    return u.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n_trips"))

@@ -182,7 +182,7 @@ def rush_hour_by_bucket(spark, sf):
 
 
 @register("rush_hour_by_minutes", ["X3", "X6"], with_trips(f"""
-SELECT departure_time, {s_minutes('departure_time')} AS departure_minutes,
+SELECT departure_time, CAST({s_minutes('departure_time')} AS DOUBLE) AS departure_minutes,
   CASE WHEN ({s_minutes('departure_time')} BETWEEN 420 AND 570)
          OR ({s_minutes('departure_time')} BETWEEN 990 AND 1140) THEN 1 ELSE 0 END AS is_rush_hour,
   count(*) AS n_trips
@@ -193,7 +193,7 @@ def rush_hour_by_minutes(spark, sf):
     t = trips(spark, sf).select("departure_time")
     t = t.unionByName(t.select(F.replace("departure_time", F.lit(":"), F.lit("")).alias("departure_time"))) \
          .unionByName(t.select(F.concat("departure_time", F.lit(":30")).alias("departure_time")))
-    t = t.withColumn("departure_minutes", X.time_to_minutes("departure_time"))
+    t = t.withColumn("departure_minutes", X.time_to_minutes("departure_time").cast("double"))
     return (t.withColumn("is_rush_hour", X.rush_hour_minutes("departure_minutes"))
             .groupBy("departure_time", "departure_minutes", "is_rush_hour")
             .agg(F.count(F.lit(1)).alias("n_trips")))
@@ -259,7 +259,7 @@ SELECT replace(time_raw, '.', ':') AS departure_time,
   regexp_replace(replace(replace(dest_raw, '(', ''), ')', ''), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')
     AS destination,
   CAST(regexp_matches(no_raw, '^[0-9]+$') AS INTEGER) AS no_is_digits,
-  CASE WHEN regexp_matches(no_raw, '^[0-9]+$') THEN TRY_CAST(no_raw AS INTEGER) END AS trip_no,
+  CAST(CASE WHEN regexp_matches(no_raw, '^[0-9]+$') THEN TRY_CAST(no_raw AS INTEGER) END AS DOUBLE) AS trip_no,
   count(*) AS n_trips
 FROM raw GROUP BY 1, 2, 3, 4"""))
 def timetable_text_cleanup(spark, sf):
@@ -271,7 +271,7 @@ def timetable_text_cleanup(spark, sf):
     return (raw.select(X.normalise_time_text("time_raw").alias("departure_time"),
                        X.clean_destination("dest_raw").alias("destination"),
                        X.is_digits("no_raw").cast("int").alias("no_is_digits"),
-                       X.digits_to_int("no_raw").alias("trip_no"))
+                       X.digits_to_int("no_raw").cast("double").alias("trip_no"))
             .groupBy("departure_time", "destination", "no_is_digits", "trip_no")
             .agg(F.count(F.lit(1)).alias("n_trips")))
 

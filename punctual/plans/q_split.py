@@ -80,7 +80,8 @@ def stratified_group_split(spark, sf):
 , g AS (SELECT grp, count(*) AS gn, sum(label) AS gp FROM l GROUP BY grp),
 r AS (SELECT *, row_number() OVER (ORDER BY abs(2 * gp - gn) DESC, gn DESC, gp ASC, grp ASC) - 1 AS rk FROM g),
 f AS (SELECT *, CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END AS fold FROM r)
-SELECT fold, count(*) AS n_groups, CAST(sum(gn) AS BIGINT) AS n_rows, round(sum(gp) / sum(gn), 6) AS late_rate
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_groups, CAST(sum(gn) AS BIGINT) AS n_rows,
+  round(sum(gp) / sum(gn), 6) AS late_rate
 FROM f GROUP BY fold"""))
 def group_fold_sizes(spark, sf):
     """Rows, groups and Late rate per snake fold (balance check)."""
