@@ -57,6 +57,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRIP_SCHEMA,
     return raw.select(*cols)
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """IO8: the first ``n`` rows (a bounded peek; order is the scan's)."""
+    return df.limit(n)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """IO2: header CSV, no index column."""
     df.write.mode(mode).option("header", True).csv(path)
