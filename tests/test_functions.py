@@ -75,3 +75,17 @@ def test_timetable_text(spark):
     assert col_values(spark, ["5.30"], X.normalise_time_text, "string") == ["5:30"]
     assert col_values(spark, [" (Dubai Mall) "], X.clean_destination, "string") == ["Dubai Mall"]
     assert col_values(spark, ["12", "1a", "", None], X.digits_to_int, "string") == [12, None, None, None]
+
+
+def test_csv_reader_missing_tokens(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from punctual.sources.files import read_csv
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c,d\nNA,1.5,3,2024-01-02\nn/a,5d,x,bad\nnull,#N/A,,\nDusty, 2.5 , 7 ,2024-02-30\n")
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.DoubleType()),
+                           T.StructField("c", T.IntegerType()), T.StructField("d", T.DateType())])
+    rows = [tuple(r) for r in read_csv(spark, str(path), schema).collect()]
+    import datetime as dt
+    assert rows == [(None, 1.5, 3, dt.date(2024, 1, 2)), (None, None, None, None), (None, None, None, None),
+                    ("Dusty", 2.5, 7, None)]
