@@ -16,10 +16,6 @@ FEATS = prep.EXPERIMENT_FEATURES
 R6 = 6
 
 
-def _r(c: str) -> str:
-    return f"round({c}, {R6}) AS {c}"
-
-
 @register("dedup_keep_first", ["A2", "J6", "J7", "A1"], with_trips(f"""
 , l AS (SELECT *, {S_LABEL} AS label FROM dups WHERE delay_minutes IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(FEATS)}, label ORDER BY row_id) AS rn FROM l)
