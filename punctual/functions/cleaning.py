@@ -49,7 +49,7 @@ def safe_numeric(c: ColumnOrName) -> Column:
     """
     as_text = to_col(c).cast("string")
     # The pattern admits no 'NaN'/'inf' text, so the result is never NaN.
-    return F.when(as_text.rlike(NUMERIC_PATTERN), F.trim(as_text)).cast("double")
+    return F.when(as_text.rlike(NUMERIC_PATTERN), strip_ws(as_text)).cast("double")
 
 
 def nan_to_null(c: ColumnOrName) -> Column:

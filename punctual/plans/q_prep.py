@@ -31,7 +31,7 @@ def s_clean_cat(x: str, token: str) -> str:
 def s_safe_numeric(x: str) -> str:
     v = f"CAST({x} AS VARCHAR)"
     pat = C.NUMERIC_PATTERN
-    return f"CASE WHEN regexp_matches({v}, '{pat}') THEN TRY_CAST(trim({v}) AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches({v}, '{pat}') THEN TRY_CAST({s_strip(v)} AS DOUBLE) END"
 
 
 def s_minutes(x: str) -> str:
