@@ -113,3 +113,11 @@ def test_streaming_scoring(spark, sf, cli, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 500 and out.where("score < 0 OR score > 1").count() == 0
     assert math.isclose(out.agg(F.max("confidence")).first()[0] <= 100.0, True)
+
+
+def test_binned_scores_bound_thresholds(spark, sf):
+    s = scored_trips(trips(spark, sf))
+    exact = W.ranking_metrics(s).first()
+    binned = W.ranking_metrics(s, score_digits=2).first()
+    assert W.pr_curve(s, score_digits=2).count() <= 102
+    assert abs(exact["roc_auc"] - binned["roc_auc"]) < 0.02
