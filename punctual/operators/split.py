@@ -72,6 +72,7 @@ def time_split(df: DataFrame, date_col: str = "date", key: str = "trip_key", tes
     cum = prefix_sums(days.withColumn("_dn", F.datediff("_d", F.lit("1970-01-01"))), [("_dn", False)], ["_n"])
     boundary = cum.where((F.col("_n_cum") - F.col("_n") <= cutoff) & (F.col("_n_cum") > cutoff)).select(
         "_d", (F.lit(cutoff) - (F.col("_n_cum") - F.col("_n"))).alias("_need")).first()
+    days.unpersist()  # the result below depends only on literals from here on
     if boundary is None:  # cutoff == n: everything trains
         return d.withColumn(split_col, F.lit(TRAIN)).drop("_d")
     bday, need = boundary["_d"], boundary["_need"]
