@@ -92,7 +92,7 @@ def second_features(trips: DataFrame) -> DataFrame:
     d = prep.categories_as_text(d, prep.SECOND_CATEGORIES)
     d = prep.coerce_numeric(d, prep.SECOND_NUMERICS)
     # VectorAssembler rejects NULL: impute what the reference left missing.
-    return prep.impute_median(d, ["departure_minutes"])
+    return prep.impute_median(d, ["stop_distance_km", "temperature_celsius", "departure_minutes"])
 
 
 def run_second(trips: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 42) -> dict:
