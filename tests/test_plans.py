@@ -9,6 +9,7 @@ REG = load_all()
 
 
 def plan(spark, sf, name):
+    spark.catalog.clearCache()  # cached frames of other tests would replace the scans
     buf = io.StringIO()
     with redirect_stdout(buf):
         REG[name].build(spark, sf).explain("formatted")
