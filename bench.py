@@ -41,6 +41,7 @@ def force(df) -> None:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    os.environ.setdefault("PUNCTUAL_DRIVER_MEMORY", "16g")  # local mode: the driver JVM is the executor
     cpus = os.environ.get("BENCH_CPUS", "8")
     from punctual.session import local_session
     from punctual.plans.registry import load_all
