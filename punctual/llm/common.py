@@ -13,7 +13,7 @@ from punctual.session import shared_path
 from punctual.sources.tables import read_table
 
 # Text held by one step of a Python worker; a single longer text is still taken whole.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 6_000_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

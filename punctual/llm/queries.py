@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from punctual.llm import op2_secrets, op4_packing, op8_token_files, op9_html, op10_transducer_bpe
+from punctual.llm import (op1_projected_neighbours, op2_secrets, op3_sharding, op4_packing, op7_pivot_search, op8_token_files,
+                          op9_html, op10_transducer_bpe)
 from punctual.llm.common import documents
 from punctual.sources.tables import read_table
 
@@ -24,16 +26,44 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_projected_neighbours")
+def projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return op1_projected_neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 @query("op2_secrets")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secrets.secret_spans(documents(spark, sf_dir))
 
 
+@query("op3_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 @query("op4_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+TOP_PRODUCTS_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op7_pivot_search", TOP_PRODUCTS_SQL)
+def pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return op7_pivot_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query("op8_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

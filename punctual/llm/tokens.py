@@ -22,7 +22,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 
 # Bound on each memo of a Python worker, and on the length of what it holds.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 48
 # Longer words are merged by a heap, one at a time.
 LONGEST_IN_MATRIX = 64
