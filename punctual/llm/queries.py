@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import (op1_projected_neighbours, op2_secrets, op3_sharding, op4_packing, op7_pivot_search, op8_token_files,
-                          op9_html, op10_transducer_bpe)
+from punctual.llm import (op1_projected_neighbours, op2_secrets, op3_sharding, op4_packing, op5_near_duplicates, op6_language_id,
+                          op7_pivot_search, op8_token_files, op9_html, op10_transducer_bpe)
 from punctual.llm.common import documents
 from punctual.sources.tables import read_table
 
@@ -47,6 +47,16 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_language_id.identify(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
 TOP_PRODUCTS_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
            FROM embeddings WHERE embedding IS NOT NULL
