@@ -37,6 +37,7 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
           "option": (("option",), ("select",))}
 # Least points of a sibling that is kept, and its least share of the best container's.
 SIBLING_POINTS, SIBLING_SHARE = 10.0, 0.2
+CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 SPLIT_WORDS = re.compile(r"[^a-z0-9]+")
 
 
@@ -179,7 +180,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
+    tree.feed(CUT_TAG.sub("", html))  # a page may break off inside a tag
     tree.close()
     containers = score(runs(tree.root))
     if not containers:
