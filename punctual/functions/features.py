@@ -72,11 +72,11 @@ def weekend_casefold(day: ColumnOrName = "day_of_week") -> Column:
 
 
 def time_to_minutes(t: ColumnOrName = "departure_time") -> Column:
-    """X6: 'HH:MM[:SS]' -> 60*HH + MM; NULL, one part or bad digits -> NULL."""
+    """X6: 'HH:MM[:SS]' -> 60*HH + MM; NULL, one part, bad digits or more minutes than an int holds -> NULL."""
     parts = F.split(strip_ws(to_col(t).cast("string")), ":")
     hh = F.try_element_at(parts, F.lit(1)).try_cast("int")
     mm = F.try_element_at(parts, F.lit(2)).try_cast("int")
-    return F.when(F.size(parts) >= 2, hh * F.lit(60) + mm)
+    return F.when(F.size(parts) >= 2, (hh.cast("bigint") * F.lit(60) + mm).try_cast("int"))
 
 
 def time_bucket_from_hour(hour: ColumnOrName) -> Column:

@@ -138,16 +138,17 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 
 def delay_histogram(df: DataFrame, width: float = 5.0, delay: str = "delay_minutes") -> DataFrame:
-    """Counts per delay bin [k*w, (k+1)*w)."""
+    """Counts per delay bin [k*w, (k+1)*w); NULL and NaN delays have no bin."""
     b = F.floor(F.col(delay) / F.lit(float(width))).cast("bigint")
-    return (df.where(F.col(delay).isNotNull()).groupBy(b.alias("bin"))
+    return (df.where(F.col(delay).isNotNull() & ~F.isnan(F.col(delay).cast("double"))).groupBy(b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("n_trips"))
               .withColumn("bin_start", F.col("bin") * F.lit(float(width))))
 
 
 def route_performance(df: DataFrame, label: str = "label", delay: str = "delay_minutes") -> DataFrame:
     """Late rate, mean delay and trips per route."""
-    return df.groupBy("route").agg(F.avg(label).alias("late_rate"), F.avg(delay).alias("mean_delay"),
+    known = F.when(~F.isnan(F.col(delay).cast("double")), F.col(delay))  # NaN is a missing delay
+    return df.groupBy("route").agg(F.avg(label).alias("late_rate"), F.avg(known).alias("mean_delay"),
                                    F.count(F.lit(1)).alias("n_trips"))
 
 

@@ -104,7 +104,7 @@ def run_second(trips: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 42) ->
                   {"n_estimators": rounds, "subsample": 0.9, "colsample": 0.9}, "positive", seed=seed)
     keep = ["trip_key", "label"]
     sc = (M.score(lr, test, keep=keep).withColumn("model", F.lit("LogisticRegression"))
-          .unionByName(M.score(gbt, test, keep=keep).withColumn("model", F.lit("XGBoost"))))
+          .unionByName(M.score(gbt, test, keep=keep).withColumn("model", F.lit("BoostedTrees"))))
     summary = W.model_summary(sc).select(
         "model", "accuracy", "macro_f1", "balanced_accuracy", "roc_auc", F.col("average_precision").alias("auprc"))
     return {"lr": lr, "gbt": gbt, "test": test, "scored": sc, "summary": summary}

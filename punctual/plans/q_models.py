@@ -133,9 +133,11 @@ def score_with_confidence(spark, sf):
 @register("model_roundtrip", ["IO7"])
 def model_roundtrip(spark, sf):
     """Save and reload the fitted pipeline; count rows scored differently."""
+    import uuid
+
     from punctual.session import shared_path
     r = EX.run_cli(trips(spark, sf), "logreg")
-    path = shared_path(spark, "model-roundtrip")
+    path = shared_path(spark, f"model-roundtrip-{uuid.uuid4().hex}")
     M.save_model(r["model"], path)
     back = M.load_model(path, EX.CLI_SPEC)
     test = r["scored"].select("trip_key")

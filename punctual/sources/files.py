@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.functions.cleaning import parse_date, safe_numeric
+from punctual.operators.prep import require_columns
 
 # Texts pandas' CSV reader treats as missing by default.
 MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -36,16 +37,22 @@ TRIP_SCHEMA = T.StructType([
     T.StructField("delay_minutes", T.DoubleType()),
 ])
 
+TRIP_OPTIONAL = T.StructType([T.StructField("arrival_status", T.StringType())])
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRIP_SCHEMA,
-             missing: list[str] | None = None) -> DataFrame:
-    """IO1: header CSV -> typed DataFrame with pandas-style missing tokens."""
+             missing: list[str] | None = None, optional: T.StructType = TRIP_OPTIONAL) -> DataFrame:
+    """IO1: header CSV -> typed DataFrame with pandas-style missing tokens.
+
+    Columns are taken by their header name, in any order; others are left
+    out.  Those of ``schema`` must be there, those of ``optional`` may.
+    """
     tokens = MISSING_TOKENS if missing is None else missing
-    text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (spark.read.schema(text_schema).option("header", True).option("mode", "PERMISSIVE")
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
            .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    require_columns(raw, [f.name for f in schema.fields])
     cols = []
-    for f in schema.fields:
+    for f in [*schema.fields, *[f for f in optional.fields if f.name in raw.columns and f.name not in schema.names]]:
         v = F.when(F.col(f.name).isin(*tokens), F.lit(None).cast("string")).otherwise(F.col(f.name))
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             v = safe_numeric(v)

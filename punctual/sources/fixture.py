@@ -53,8 +53,12 @@ def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     parts = [FIXTURE_VERSION, sf_dir]
     for t in SOURCE_TABLES:
         fs, p = _hadoop_fs(spark, table_path(sf_dir, t))
-        st = fs.getFileStatus(p)
-        parts.append(f"{t}:{st.getLen()}:{st.getModificationTime()}")
+        files = fs.listFiles(p, True)  # every file: a folder's own time may not move when a partition changes
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+        parts += [t, *sorted(found)]
     return hashlib.md5("|".join(parts).encode()).hexdigest()[:16]
 
 

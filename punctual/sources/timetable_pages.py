@@ -1,62 +1,64 @@
 """Timetable extraction from HTML pages (IO5, re-aimed as a job over a
 ``pages(page_id, url, html)`` table; fetching is out of scope).
 
-A page's blocks (headings h1-h6, tables, paragraphs, list items, divs) are
-pulled out with ``regexp_extract_all`` and numbered with ``posexplode``.
-A section starts at an h4-h6 heading containing 'Trip Details' and runs to
-the next h4-h6 heading; its route is the nearest earlier h1-h6 heading
-without 'Trip Details'.  Section membership and route come from windows
-over one page's blocks (a page is the unit of work).  Inside a section:
-table rows with >= 3 cells and a digits-only first cell, or text blocks
-'<no> <time> <destination...>', each yield one trip.
+A page's blocks (headings h1-h6, tables, and any other run of text) are
+pulled out with ``regexp_extract_all`` into one array.  A section starts at
+an h4-h6 heading containing 'Trip Details' and runs to the next h4-h6
+heading; its route is the nearest earlier h1-h6 heading without 'Trip
+Details'.  Sections are cut from the array by higher-order functions: one
+scan, no window and no shuffle of HTML.  Inside a section: table rows with
+>= 3 cells and a digits-only first cell, or text blocks '<no> <time>
+<destination...>', each yield one trip (numbers beyond an int are NULL).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.functions.cleaning import strip_ws
-from punctual.functions.features import clean_destination, direction_from_route, is_digits, normalise_time_text
+from punctual.functions.features import clean_destination, digits_to_int, direction_from_route, is_digits, normalise_time_text
 
-BLOCK_PATTERN = r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>|<table[^>]*>.*?</table>|<p[^>]*>.*?</p>|<li[^>]*>.*?</li>)"
-ROW_PATTERN = r"(?is)<tr[^>]*>(.*?)</tr>"
-CELL_PATTERN = r"(?is)<td[^>]*>(.*?)</td>"
+# Left out before anything else: comments and elements without visible text.
+HIDDEN_PATTERN = r"(?is)<!--.*?-->|<(script|style|svg|head)(\s[^>]*)?>.*?</\1\s*>"
+# A heading, a table, or a run of text with inline tags up to the next block tag (which has no text itself).
+BLOCK_TAGS = r"(?:h[1-6]|table|p|li|ul|ol|dl|dt|dd|div|section|article|main|header|footer|nav|aside|body|html|br|hr|pre|blockquote)"
+BLOCK_PATTERN = (r"(?is)(<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>|<table(?:\s[^>]*)?>.*?</table\s*>|"
+                 r"[^<]+(?:<(?!/?" + BLOCK_TAGS + r"(?:[\s/>]))(?!/span\s*>\s*<span)[^>]*>[^<]*)*|<[^>]*>)")
+ROW_PATTERN = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"
+CELL_PATTERN = r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>"
 SECTION_TITLE = "trip details"
+SECTION_WORD = "details"  # of a title whose words may stand apart in the markup
+
+# Character references of running text; the ampersand last.
+ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def tag_text(c) -> F.Column:
-    """Visible text of an HTML fragment: tags removed, entities for '&' and
-    spaces decoded, whitespace collapsed and stripped."""
+    """Visible text of an HTML fragment: tags removed, the common
+    entities decoded, whitespace collapsed and stripped."""
     t = F.regexp_replace(c, r"<[^>]+>", " ")
-    t = F.replace(F.replace(t, F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" "))
+    for name, char in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(char))
     return strip_ws(F.regexp_replace(t, r"\s+", " "))
 
 
 def extract_timetable(pages: DataFrame, origin: str = "rak") -> DataFrame:
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK_PATTERN), 1))
-                          .alias("pos", "block"))
-    level = F.regexp_extract("block", r"(?is)^<h([1-6])", 1)
-    blocks = blocks.select(
-        "page_id", "pos", "block",
-        F.when(level != "", level.cast("int")).alias("h"),
-        F.lower(F.regexp_extract("block", r"(?is)^<([a-z0-9]+)", 1)).alias("tag"),
-        tag_text(F.col("block")).alias("text"))
-    is_title = F.lower(F.col("text")).contains(SECTION_TITLE)
-    page = Window.partitionBy("page_id").orderBy("pos")
-    before = page.rowsBetween(Window.unboundedPreceding, -1)
-    upto = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # h4-h6 headings open (title) or close (other) a section; -1 marks "closed".
-    marker = F.when(F.col("h") >= 4, F.when(is_title, F.col("pos")).otherwise(F.lit(-1)))
-    route_here = F.when(F.col("h").isNotNull() & ~is_title, F.col("text"))
-    b = blocks.select(
-        "*",
-        F.last(marker, ignorenulls=True).over(upto).alias("_section"),
-        F.last(route_here, ignorenulls=True).over(before).alias("_route_before"))
-    titles = b.where((F.col("h") >= 4) & is_title).select(
-        "page_id", F.col("pos").alias("_section"),
-        F.coalesce(F.col("_route_before"), F.lit("Unknown Route")).alias("route"))
-    body = b.where(F.col("h").isNull() & (F.col("_section") >= 0)).join(titles, ["page_id", "_section"])
+    html = F.regexp_replace("html", HIDDEN_PATTERN, " ")
+    pages = pages.where(F.lower("html").contains(SECTION_WORD)).select(html.alias("html"))
+    found = F.transform(F.regexp_extract_all("html", F.lit(BLOCK_PATTERN), 1), lambda block, i: F.struct(
+        i.alias("pos"), block.alias("block"), F.regexp_extract(block, r"(?is)^<h([1-6])", 1).try_cast("int").alias("h"),
+        F.lower(F.regexp_extract(block, r"(?is)^<(table)", 1)).alias("tag"), tag_text(block).alias("text")))
+    blocks = pages.select(F.filter(found, lambda x: x.text != "").alias("blocks"))
+    is_title = lambda x: F.lower(x.text).contains(SECTION_TITLE)
+    # One row per section title; everything else of a section is found in the page's own array.
+    titles = blocks.select("blocks", F.explode(F.filter("blocks", lambda x: (x.h >= 4) & is_title(x))).alias("title"))
+    start = F.col("title.pos")
+    end = F.array_min(F.transform(F.filter("blocks", lambda x: (x.h >= 4) & (x.pos > start)), lambda x: x.pos))
+    route = F.try_element_at(F.filter("blocks", lambda x: x.h.isNotNull() & ~is_title(x) & (x.pos < start)), F.lit(-1)).text
+    sections = titles.select(F.coalesce(route, F.lit("Unknown Route")).alias("route"), "blocks", start.alias("start"), end.alias("end"))
+    inside = F.filter("blocks", lambda x: x.h.isNull() & (x.pos > F.col("start")) & (F.col("end").isNull() | (x.pos < F.col("end"))))
+    body = sections.select("route", F.explode(inside).alias("b")).select("route", "b.block", "b.tag", "b.text")
 
     # table layout
     rows = body.where(F.col("tag") == "table").select(
@@ -70,12 +72,12 @@ def extract_timetable(pages: DataFrame, origin: str = "rak") -> DataFrame:
     words = F.split(F.col("text"), " ")
     from_text = body.where((F.col("tag") != "table") & (F.size(words) >= 3) & is_digits(words[0])).select(
         "route", words[0].alias("no"), words[1].alias("time"),
-        F.array_join(F.slice(words, 3, 1_000_000), " ").alias("dest"))
+        F.array_join(F.slice(words, F.lit(3), F.size(words)), " ").alias("dest"))
 
     trips = from_table.unionByName(from_text)
     out = trips.select(
         "route", direction_from_route(F.col("route"), origin).alias("direction"),
-        F.col("no").cast("int").alias("trip_no"),
+        digits_to_int(F.col("no")).alias("trip_no"),
         normalise_time_text(F.col("time")).alias("departure_time"),
         clean_destination(F.col("dest")).alias("destination"))
     return out.distinct()

@@ -28,3 +28,33 @@ def test_extract_hand_written_pages(spark):
         ("Campus Loop", "Unknown", 1, "08:00", "Main Gate"),
         ("RAK to Ajman", "From", 2, "09:00", "Ajman"),
     ])
+
+
+ORDINARY = [
+    # A <link> and a menu list before the section, an SVG path, a comment and a script that quote trips.
+    (1, "u", "<html><head><link rel=x href=y></head><ul><li>Home</li></ul><svg><path d='M0'/></svg>"
+             "<h3>RAK to Ajman</h3><h5>Trip Details</h5><!-- <p>1 01:00 No</p> --><script>'<p>2 02:00 No</p>'</script>"
+             "<p>3 08:00 Ajman &amp; more</p></html>"),
+    # Trips in other siblings: div, spans, ul, bare text.
+    (2, "u", "<h2>Dibba to RAK</h2><h4>Trip <b>Details</b></h4><div>4 09:00 Dibba</div><span>5 10:00 North</span>"
+             "<span>6 11:00 South</span><ul><li><b>7</b> 12:00 <i>East</i> Gate</li></ul>8 13:00 West<h4>Other</h4>9 14:00 No"),
+    # A number beyond an int is no crash.
+    (3, "u", "<h2>X to RAK</h2><h4>Trip Details</h4><p>99999999999999 15:00 Far</p>"),
+    (4, "u", None), (5, "u", ""),
+]
+
+
+def test_ordinary_pages(spark):
+    got = {tuple(r) for r in extract_timetable(spark.createDataFrame(ORDINARY, "page_id long, url string, html string")).collect()}
+    assert got == {
+        ("RAK to Ajman", "From", 3, "08:00", "Ajman & more"),
+        ("Dibba to RAK", "To", 4, "09:00", "Dibba"), ("Dibba to RAK", "To", 5, "10:00", "North"),
+        ("Dibba to RAK", "To", 6, "11:00", "South"), ("Dibba to RAK", "To", 7, "12:00", "East Gate"),
+        ("Dibba to RAK", "To", 8, "13:00", "West"), ("X to RAK", "To", None, "15:00", "Far"),
+    }
+
+
+def test_extraction_moves_no_html(spark):
+    pages = spark.createDataFrame(ORDINARY, "page_id long, url string, html string")
+    plan = extract_timetable(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
