@@ -28,7 +28,7 @@ BAND = 5
 BANDS = 25
 # Deviations of the estimate that a pair may lie below the threshold and still be verified.
 SLACK = 4.5
-BLOCK = 2048
+BLOCK = 1024
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SKETCH = "doc_id long, n_shingles long, key string, cls long, registers binary, bands array<long>"
 
@@ -97,25 +97,32 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity; sets are made only for classes in a pair."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Full shingle sets of the classes in ``needed`` (cls)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([shingles(t).tobytes() for t in strings(b, "text")], pa.binary())],
                                              names=["cls", "set"])
 
+    return texts.join(needed, "cls", "left_semi").select("cls", "text").mapInArrow(run, "cls long, set binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the similarity; sets are made only for classes in a pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column("s_u"), b.column("s_v")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                    for x, y in zip(b.column("s_u"), b.column("s_v"))]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    full = keep(texts.join(needed, "cls", "left_semi").select("cls", "text").mapInArrow(sets, "cls long, set binary"), "sets")
+    full = keep(_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()), "sets")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"s_{c}"))
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
@@ -124,39 +131,93 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
-def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that the comparison with its centre left undecided, sieved block by block."""
+def _sieved(x: pa.Table, y: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``x`` the rows of ``y`` that it may be linked to: of another component, not the
+    bucket's centre, in no earlier shared bucket, and likely similar enough."""
+    least = percent / 100
+    floor = least - SLACK * np.sqrt(least * (1 - least) / setsketch.REGISTERS)
+    rx, ry = _registers(x["registers"]), _registers(y["y_registers"])
+    bx, by = (np.array(t.to_pylist(), np.int64) for t in (x["bands"], y["y_bands"]))
+    nx, ny = x["n"].to_numpy(), y["y_n"].to_numpy()
+    root, cls = y["y_root"].to_numpy(), y["y_cls"].to_numpy()
+    bucket, centre = x["bucket"][0].as_py(), x["centre"][0].as_py()
+    other = cls != centre
+    for i, own in enumerate(x["root"].to_pylist()):
+        hit = np.flatnonzero(other & (root != own) & ((ry == rx[i]).sum(1) >= int(setsketch.REGISTERS * floor))
+                             & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * percent))
+        if len(hit):
+            shared = by[hit] == bx[i]
+            hit = hit[by[hit, shared.argmax(1)] == bucket]
+        if len(hit):
+            hit = hit[setsketch.similarity(ry[hit], np.broadcast_to(rx[i], (len(hit), rx.shape[1])), ny[hit], np.full(len(hit), nx[i])) >= floor]
+        if len(hit):
+            yield i, hit
+
+
+def _blocks(left: DataFrame, right: DataFrame, extra: list[str]):
+    """Rows to compare, met by bucket and by the numbers of their blocks."""
+    columns = ["bucket", "a", "b", "cls", "root", "centre", "n", "registers", "bands", *extra]
+    return (left.select(columns).groupBy("bucket", "a", "b")
+            .cogroup(right.select([F.col(c).alias(f"y_{c}") for c in columns]).groupBy("y_bucket", "y_a", "y_b")))
+
+
+def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links in a bucket that the comparison with its centre could not show.
+
+    Members outside the centre's component meet the whole bucket, block by
+    block.  First only the rows that need their full sets are found; then
+    these meet again with the sets, and one link per component is returned.
+    """
     named = members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
     named = (named.join(centre, "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
              .withColumn("loose", F.col("root") != F.col("centre_root")))
-    # A bucket with one loose member besides its centre's component of one has nothing left to compare.
+    # A bucket of two has nothing to compare beyond its centre.
     count = (named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("loose").cast("long")).alias("n_loose"))
              .filter("n_loose > 0 and size > 2"))
-    named = keep(named.join(count, "bucket").select("bucket", "cls", "centre", "root", "loose", "size", "n_loose"), "left-over")
-    named = named.join(sketches.select("cls", "registers"), "cls")
+    named = named.join(count, "bucket").select("bucket", "cls", "centre", "root", "loose", "size", "n_loose")
+    named = keep(named.join(sketches.select("cls", "n", "registers", "bands"), "cls"), "left-over")
     block = lambda n: F.pmod(F.xxhash64("cls"), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / F.lit(BLOCK)) - 1).cast("int")))
-    columns = ["bucket", "a", "b", "cls", "root", "centre", "registers"]
-    left = named.filter("loose").withColumn("a", block("n_loose")).withColumn("b", spread("size")).select(columns)
-    right = named.withColumn("b", block("size")).withColumn("a", spread("n_loose")).select([F.col(c).alias(f"y_{c}") for c in columns])
-    least = percent / 100
-    need = int(setsketch.REGISTERS * (least - SLACK * np.sqrt(least * (1 - least) / setsketch.REGISTERS)))
+    left = named.filter("loose").withColumn("a", block("n_loose")).withColumn("b", spread("size"))
+    right = named.withColumn("b", block("size")).withColumn("a", spread("n_loose"))
 
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+    def involved(x: pa.Table, y: pa.Table) -> pa.Table:
+        xs, ys = [], set()
+        if x.num_rows and y.num_rows:
+            for i, hit in _sieved(x, y, percent):
+                xs.append(i)
+                ys.update(hit.tolist())
+        ys = sorted(ys)
+        got = [*x["cls"].take(pa.array(xs, pa.int64())).to_pylist(), *y["y_cls"].take(pa.array(ys, pa.int64())).to_pylist()]
+        where = [x[c][0].as_py() if got else None for c in ("bucket", "a", "b")]
+        return pa.table([pa.array([w] * len(got), t) for w, t in zip(where, (pa.int64(), pa.int32(), pa.int32()))]
+                        + [pa.array(got, pa.int64()), pa.array([True] * len(xs) + [False] * len(ys), pa.bool_())],
+                        names=["i_bucket", "i_a", "i_b", "i_cls", "i_left"])
+
+    def link(x: pa.Table, y: pa.Table) -> pa.Table:
         u, v = [], []
         if x.num_rows and y.num_rows:
-            rx, ry = _registers(x["registers"]), _registers(y["y_registers"])
-            cx, cy = x["cls"].to_numpy(), y["y_cls"].to_numpy()
-            root, centre = y["y_root"].to_numpy(), x["centre"][0].as_py()
-            for i, (cls, own) in enumerate(zip(cx.tolist(), x["root"].to_pylist())):
-                hit = cy[((ry == rx[i]).sum(1) >= need) & (root != own) & (cy != centre)]
-                u += [cls] * len(hit)
-                v += hit.tolist()
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in y["y_set"]]
+            root, cls = y["y_root"].to_pylist(), y["y_cls"].to_pylist()
+            for i, hit in _sieved(x, y, percent):
+                own, found = np.frombuffer(x["set"][i].as_buffer(), np.uint64), set()
+                for k in hit.tolist():
+                    if root[k] not in found and _similar(own, sets[k], percent):
+                        found.add(root[k])
+                        u.append(x["cls"][i].as_py())
+                        v.append(cls[k])
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["x", "y"])
 
-    met = left.groupBy("bucket", "a", "b").cogroup(right.groupBy("y_bucket", "y_a", "y_b"))
-    found = met.applyInArrow(compare, "x long, y long")
+    some = keep(_blocks(left, right, []).applyInArrow(involved, "i_bucket long, i_a int, i_b int, i_cls long, i_left boolean"), "involved")
+    sets = keep(_sets(texts, some.select(F.col("i_cls").alias("cls")).distinct()), "left-over-sets")
+
+    def with_sets(side: DataFrame, mark: bool) -> DataFrame:
+        at = some.filter(F.col("i_left") == F.lit(mark))
+        on = (side.bucket == at.i_bucket) & (side.a == at.i_a) & (side.b == at.i_b) & (side.cls == at.i_cls)
+        return side.join(at, on, "left_semi").join(sets, "cls")
+
+    found = _blocks(with_sets(left, True), with_sets(right, False), ["set"]).applyInArrow(link, "x long, y long")
     return _ordered(found, "x", "y")
 
 
@@ -193,10 +254,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = keep(_likely(_ordered(members, "cls", "centre"), sketches, percent), "likely-pairs")
     links = keep(_verified(star, texts, percent), "links")
     roots = keep(components(links), "roots")
-    more = keep(_likely(_left_over(members, roots, sketches, percent), sketches, percent), "more-pairs")
+    more = keep(_left_over(members, roots, sketches, texts, percent), "more-links")
     if not more.isEmpty():
-        links = links.unionByName(keep(_verified(more, texts, percent), "more-links"))
-        roots = keep(components(links), "all-roots")
+        roots = keep(components(links.unionByName(more)), "all-roots")
 
     linked = classes.join(roots, classes.cls == roots.node).groupBy("root").agg(F.min("first_doc").alias("component_id"))
     component = roots.join(linked, "root").select(F.col("node").alias("cls"), "component_id")
