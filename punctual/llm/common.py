@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,21 @@ from punctual.session import shared_path
 from punctual.sources.tables import read_table
 
 # Text held by one step of a Python worker; a single longer text is still taken whole.
-STEP_CHARS = 6_000_000
+STEP_CHARS = 4_000_000
+
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """The one large object (encoder, labeller) that a Python worker keeps between tasks.
+
+    Another key drops it first, so that the stages of a pipeline do not add up in a worker's memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,6 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import lexicon
-from punctual.llm.common import steps, strings
+from punctual.llm.common import held, steps, strings
 from punctual.llm.tokens import _PLAIN, Merger, PieceEncoder, pieces
 
 # Words of the lexicon at most, and distinct words that one task counts at once.
@@ -117,9 +116,8 @@ class TransducerEncoder(PieceEncoder):
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def transducer_encoder(tokenizer_file: str, lexicon_folder: str) -> TransducerEncoder:
-    return TransducerEncoder(tokenizer_file, lexicon_folder)
+    return held(("transducer", tokenizer_file, lexicon_folder), lambda: TransducerEncoder(tokenizer_file, lexicon_folder))
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import crf
-from punctual.llm.common import steps, strings
+from punctual.llm.common import held, steps, strings
 from punctual.llm.tokens import Memo
 
 UNKNOWN = "und"
@@ -29,6 +29,8 @@ WINDOW = 24
 # Words of one language in a row in a code-switched training sequence.
 STRETCH = (3, 20)
 SEQUENCE = 64
+# Bound on the memo of a Python worker.
+MEMO_WORDS = 200_000
 # Texts below this mean marginal of their best language count as of no known language.
 LEAST_SCORE = 0.4
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -106,7 +108,7 @@ class Labeller:
 
     def __init__(self, model: crf.Model):
         self.model = model
-        self.memo = Memo()
+        self.memo = Memo(MEMO_WORDS)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of the words of all ``texts``, and how many words each has."""
@@ -140,17 +142,10 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def _predicted(key: str, model: crf.Model | None, texts: list[str]) -> list[tuple[str, float]]:
-    """Predictions by the one labeller that a Python worker keeps."""
     if model is None:
         return [(UNKNOWN, 0.0)] * len(texts)
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(model)
-    return _LABELLERS[key].predict(texts)
+    return held(("labeller", key), lambda: Labeller(model)).predict(texts)
 
 
 def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:

@@ -17,12 +17,14 @@ import json
 import os
 import re
 from array import array
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 
+from punctual.llm.common import held
+
 # Bound on each memo of a Python worker, and on the length of what it holds.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 # Longer words are merged by a heap, one at a time.
 LONGEST_IN_MATRIX = 64
@@ -256,7 +258,6 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def piece_encoder(tokenizer_file: str) -> PieceEncoder:
     """One encoder per Python worker and file."""
-    return PieceEncoder(tokenizer_file)
+    return held(("pieces", tokenizer_file), lambda: PieceEncoder(tokenizer_file))
