@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import lexicon
-from punctual.llm.common import held, steps, strings
+from punctual.llm.common import held, keep, steps, strings
 from punctual.llm.tokens import _PLAIN, Merger, PieceEncoder, pieces
 
 # Words of the lexicon at most, and distinct words that one task counts at once.
@@ -70,9 +70,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, tokenizer_file: str, limit: int = LEXICON_WORDS) -> str:
-    """Build the automaton of the ``limit`` commonest words and ship its files; returns their folder name."""
+    """Build the automaton of the commonest words, ``limit`` at most, and ship its files; returns their folder name."""
     spark = docs.sparkSession
-    words = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts = keep(word_counts(docs), "word-counts")
+    # Eighths of powers of two of the counts: a few hundred classes, of which the highest that fit are taken.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, taken = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        taken += r["count"]
+        if taken > limit:
+            break
+        least = r["level"]
+    words = [] if least is None else [r["word"] for r in counts.filter(level >= least).select("word").collect()]  # at most ``limit``
     ids = Merger(tokenizer_file).merge(words)
     scratch = tempfile.mkdtemp(prefix="lexicon-")
     name = os.path.basename(scratch)
