@@ -17,27 +17,13 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 DENSE_BUCKETS = 1 << 15
 
 
-_SIZE_CHECKS: dict[tuple[str, int], int | None] = {}
-
-
-def row_count_at_most(df: DataFrame, max_rows: int, memo_key: str | None = None) -> int | None:
-    """Row count when it is <= max_rows, else None (reads at most max_rows+1 rows).
-
-    ``memo_key`` (e.g. a table path) reuses an earlier check in this process.
-    """
-    if memo_key is not None and (memo_key, max_rows) in _SIZE_CHECKS:
-        return _SIZE_CHECKS[(memo_key, max_rows)]
-    n = df.limit(max_rows + 1).count()
-    out = n if n <= max_rows else None
-    if memo_key is not None:
-        _SIZE_CHECKS[(memo_key, max_rows)] = out
-    return out
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, memo_key: str | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Broadcast hint only behind a checked row bound; otherwise leave the
-    choice to the planner (sort-merge or AQE's runtime conversion)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows, memo_key) is not None else df
+    choice to the planner (sort-merge or AQE's runtime conversion).  ``rows``
+    is the row count where the caller knows it; else at most max_rows + 1
+    rows are read to check."""
+    n = df.limit(max_rows + 1).count() if rows is None else rows
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def dense_index_with_count(df: DataFrame, key_cols: Sequence[str], index_col: str = "idx",

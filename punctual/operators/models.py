@@ -7,7 +7,10 @@ keeps its feature names and scores identically.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,15 +19,16 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.labels import LATE, ON_TIME
 from punctual.operators.aggregates import balanced_weights, class_balance
 from punctual.operators.encode import EncodingSpec, feature_names, fit_encoder
+from punctual.session import shared_path
 
 MAX_TREE_DEPTH = 30  # Spark's limit stands in for an unbounded depth
+MAX_BINS = 64  # candidate thresholds per numeric column (Spark's trees split at quantile bins)
 
 # Reference hyper-parameter grids (fixed values).
 GRIDS = {
@@ -56,8 +60,10 @@ def _depth(d):
 
 def make_estimator(kind: str, params: dict | None = None, n_train: float | None = None,
                    weight_col: str | None = None, label: str = "label", seed: int = 42):
-    """Estimator by name; unknown names fall back to plain LR."""
+    """Estimator by name; unknown names fall back to plain LR.
+    ``params`` may hold ``max_bins`` for the tree learners."""
     p = dict(params or {})
+    max_bins = int(p.get("max_bins", MAX_BINS))
     common = {"featuresCol": "features", "labelCol": label}
     if weight_col:
         common["weightCol"] = weight_col
@@ -67,19 +73,19 @@ def make_estimator(kind: str, params: dict | None = None, n_train: float | None
         return LogisticRegression(maxIter=int(p.get("max_iter", 1000)), regParam=reg, elasticNetParam=0.0,
                                   standardization=False, fitIntercept=True, tol=1e-4, **common)
     if kind in ("Decision Tree Classifier", "tree"):
-        return DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 10)), seed=seed, maxBins=64, **common)
+        return DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 10)), seed=seed, maxBins=max_bins, **common)
     if kind == "Random Forest Classifier":
         return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
                                       minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
-                                      seed=seed, maxBins=64, **common)
+                                      seed=seed, maxBins=max_bins, **common)
     if kind == "Gradient Boosting Classifier":
         return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                             maxDepth=_depth(p.get("max_depth", 3)), seed=seed, maxBins=64, **common)
+                             maxDepth=_depth(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **common)
     if kind in ("Boosted Trees", "xgboost"):
         return GBTClassifier(maxIter=int(p.get("n_estimators", 400)), stepSize=float(p.get("learning_rate", 0.05)),
                              maxDepth=_depth(p.get("max_depth", 6)),
                              subsamplingRate=float(p.get("subsample", 0.8)),
-                             featureSubsetStrategy=str(p.get("colsample", 0.8)), seed=seed, maxBins=64, **common)
+                             featureSubsetStrategy=str(p.get("colsample", 0.8)), seed=seed, maxBins=max_bins, **common)
     return LogisticRegression(maxIter=100, regParam=1.0 / n_train if n_train else 0.0, standardization=False,
                               **common)
 
@@ -132,24 +138,27 @@ def grid_search(train_df: DataFrame, spec: EncodingSpec, kind: str, grid_values:
     """K-fold CV (folds from ``fold_col``, e.g. D7) by accuracy, refit the
     best candidate on all of ``train_df``."""
     candidates = grid(kind, grid_values)
-    # Vocabularies and scaling are fitted once on the whole training set; the
-    # folds then only refit the classifier, on the cached encoded vectors.
-    enc = fit_encoder(train_df, spec)
-    encoded = enc.transform(train_df).select(spec.features_col, label, fold_col).persist()
-    try:
-        n = encoded.count()
-        k = encoded.select(fold_col).distinct().count()
-        n_fold_train = n * (1 - 1 / max(1, k))
-        ests = [make_estimator(kind, c, n_fold_train, None, label, seed) for c in candidates]
-        base = ests[0]
-        maps = [{base.getParam(p.name): est.getOrDefault(p) for p in est.params
-                 if est.isDefined(p) and base.hasParam(p.name)} for est in ests]
-        cv = CrossValidator(estimator=base, estimatorParamMaps=maps,
-                            evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-                            foldCol=fold_col, numFolds=max(2, k), parallelism=parallelism, seed=seed)
-        metrics = list(cv.fit(encoded).avgMetrics)
-    finally:
-        encoded.unpersist()
+    folds = [r[0] for r in train_df.select(fold_col).distinct().orderBy(fold_col).collect()]  # k fold numbers
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    totals = [0.0] * len(candidates)
+    for fold in folds:
+        # Vocabularies and scaling are learned from the fold's training rows only.
+        enc = fit_encoder(train_df.where(F.col(fold_col) != fold), spec)
+        encoded = enc.transform(train_df).select(spec.features_col, label, fold_col).persist()
+        try:
+            fit_rows, held_out = encoded.where(F.col(fold_col) != fold), encoded.where(F.col(fold_col) == fold)
+            n = fit_rows.count()
+
+            def accuracy(params: dict) -> float:
+                fitted = make_estimator(kind, params, n, None, label, seed).fit(fit_rows)
+                return evaluator.evaluate(fitted.transform(held_out))
+
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:  # candidates share the cached fold
+                for i, acc in enumerate(pool.map(accuracy, candidates)):
+                    totals[i] += acc
+        finally:
+            encoded.unpersist()
+    metrics = [t / len(folds) for t in totals]
     best = candidates[max(range(len(metrics)), key=lambda i: metrics[i])]
     return train(train_df, spec, kind, best, None, label, seed), best, metrics
 
@@ -162,10 +171,13 @@ def score(model: TrainedModel | PipelineModel, df: DataFrame, threshold: float =
     prediction, confidence = 100 * max(p) and on-time probability * 100.
     Works on batch and streaming DataFrames alike."""
     pm = model.model if isinstance(model, TrainedModel) else model
-    out = pm.transform(df)
-    p = vector_to_array(F.col("probability"))
     cols = list(keep) if keep is not None else [c for c in df.columns]
-    return out.select(*cols,
+    return scored_from(pm.transform(df), vector_to_array(F.col("probability")), threshold, cols)
+
+
+def scored_from(df: DataFrame, p: Column, threshold: float, cols: Sequence[str]) -> DataFrame:
+    """The scoring columns from an array of class probabilities ``p``."""
+    return df.select(*cols,
                       F.element_at(p, 2).alias("score"),
                       F.when(F.element_at(p, 2) >= F.lit(float(threshold)), 1).otherwise(0).alias("prediction"),
                       (F.array_max(p) * 100).alias("confidence"),
@@ -235,6 +247,31 @@ def load_model(path: str, spec: EncodingSpec, kind: str = "") -> TrainedModel:
     return TrainedModel(pm, spec, feature_names(enc, spec), kind)
 
 
+def train_shared(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dict | None = None,
+                 balanced: str | None = None, label: str = "label", seed: int = 42,
+                 snapshot: str | None = None) -> TrainedModel:
+    """``train``, fitted once per ``snapshot`` (a name of the training rows' source and preparation) and
+    parameters: later callers load it from the shared folder.  Without a snapshot it is always fitted."""
+    if snapshot is None:
+        return train(train_df, spec, kind, params, balanced, label, seed)
+    spark = train_df.sparkSession
+    name = hashlib.md5(repr((snapshot, spec, kind, sorted((params or {}).items()), balanced, label, seed))
+                       .encode()).hexdigest()
+    done = shared_path(spark, f"fitted-{name}")
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop_path(done)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # The marker is written last, into the folder that only this writer fills.
+    for st in (fs.listStatus(target) if fs.exists(target) else []):
+        if fs.exists(hadoop_path(st.getPath(), "_FITTED")):
+            return load_model(st.getPath().toString() + "/model", spec, kind)
+    model = train(train_df, spec, kind, params, balanced, label, seed)
+    own = f"{done}/{uuid.uuid4().hex}"
+    save_model(model, f"{own}/model")
+    fs.create(hadoop_path(f"{own}/_FITTED")).close()
+    return model
+
+
 def log_predictions(scored: DataFrame, path: str) -> None:
     """IO9: append (timestamp, prediction, confidence, inputs) to a table."""
     (with_status(scored).withColumn("logged_at", F.current_timestamp())

@@ -15,14 +15,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Quantile buckets of ``prefix_sums`` (distinct values per window partition
-# ~ D/1024) and uniform buckets of ``uniform_rank`` (rows per window
-# partition ~ N/(groups * 2^15)).  Both offset tables stay small.
-DEFAULT_BUCKETS = 1024
+# ``prefix_sums`` takes at least MIN_BUCKETS quantile buckets, and more when a
+# bucket would hold above BUCKET_ROWS rows; ``uniform_rank`` takes uniform
+# buckets (rows per window partition ~ N/(groups * 2^15)).
+MIN_BUCKETS = 1024
+BUCKET_ROWS = 1_000_000
 UNIFORM_BUCKETS = 1 << 15
 
 
-def _bucket_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
+def bucket_count(rows: int) -> int:
+    """Buckets for ``rows`` rows, none far above BUCKET_ROWS."""
+    return max(MIN_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def _bucket_splits(df: DataFrame, col: str, n_buckets: int | None) -> list[float]:
+    n_buckets = n_buckets or bucket_count(df.count())
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
     inner = sorted({float(q) for q in qs if q is not None})
@@ -33,7 +40,7 @@ def prefix_sums(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
     values: Sequence[str],
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
     suffix: str = "_cum",
     splits: Sequence[float] | None = None,
     partition_cols: Sequence[str] = (),
@@ -45,7 +52,8 @@ def prefix_sums(
     bucket), the rest break ties.  Bucket bounds come from approximate
     quantiles of that column unless ``splits`` is given.  Output adds
     ``<value><suffix>`` per value column.  With ``partition_cols`` the sums
-    restart per partition (e.g. per model); bucket bounds are shared.
+    restart per partition (e.g. per model); bucket bounds are shared.  ``n_buckets``
+    follows the row count (``bucket_count``) unless given.
     """
     pc = list(partition_cols)
     first, first_desc = order[0]
@@ -95,7 +103,7 @@ def uniform_rank(
              .drop("_b", "_off"))
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int = DEFAULT_BUCKETS) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> dict[str, float | None]:
     """Exact medians (mean of the two middle values for even n), NULL/NaN ignored.
 
     All columns are stacked into one (column, value) -> count aggregate with
@@ -129,5 +137,5 @@ def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int = DEFAULT_B
         vals.unpersist()
 
 
-def exact_median(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> float | None:
+def exact_median(df: DataFrame, col: str, n_buckets: int | None = None) -> float | None:
     return exact_medians(df, [col], n_buckets)[col]

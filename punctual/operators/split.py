@@ -65,7 +65,9 @@ def time_split(df: DataFrame, date_col: str = "date", key: str = "trip_key", tes
     """Rows with unparseable dates dropped; the first int((1-t)*n) rows by
     (date, hash of key) train, the rest test.  Only the boundary day needs
     row ranks; the cumulative count runs over the per-day table."""
-    d = df.withColumn("_d", parse_date(F.col(date_col))).where(F.col("_d").isNotNull())
+    # A DATE is used as it is, so filters on it reach the scan; only other types are parsed.
+    day = F.col(date_col) if dict(df.dtypes)[date_col] == "date" else parse_date(F.col(date_col))
+    d = df.withColumn("_d", day).where(F.col("_d").isNotNull())
     days = d.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).persist()  # one row per day, read 3 times
     n = days.agg(F.sum("_n")).first()[0] or 0
     cutoff = int((1 - test_size) * n)
@@ -93,18 +95,26 @@ def with_group_key(df: DataFrame, group_col: str = "group", feature_cols: Sequen
 
 
 def group_folds(df: DataFrame, label: str = "label", group_col: str = "group", k: int = 5,
-                broadcast_rows: int = 1_000_000) -> DataFrame:
+                seed: int = 42) -> DataFrame:
     """Per-group (size, positives, fold) by the snake rule: groups ranked by
-    class imbalance |2*pos - n| desc, size desc, pos, key; rank r gets fold
-    r mod k on even rounds and k-1 - (r mod k) on odd ones.  The rank runs on
-    the aggregated group table via bucketed prefix sums."""
+    class imbalance |2*pos - n| desc, size desc, pos, then a hash of the key;
+    rank r gets fold r mod k on even rounds and k-1 - (r mod k) on odd ones.
+
+    Groups of equal (size, pos) form a class.  Running sums over the class
+    table give each class's first rank, and the hash order splits a class
+    evenly over buckets, so a third of all groups in one class is no hot spot.
+    """
     g = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gn"), F.sum(F.col(label).cast("bigint")).alias("_gp"))
-    g = g.withColumns({"_imb": F.abs(F.lit(2) * F.col("_gp") - F.col("_gn")), "_one": F.lit(1)})
-    r = prefix_sums(g, [("_imb", True), ("_gn", True), ("_gp", False), (group_col, False)], ["_one"])
-    rank = F.col("_one_cum") - F.lit(1)
+    g = g.withColumn("_u", uniform(F.col(group_col), f"snake{seed}")).persist()  # read by ranks, sizes and classes
+    classes = g.groupBy("_gn", "_gp").agg(F.count(F.lit(1)).alias("_c"))
+    classes = classes.withColumn("_imb", F.abs(F.lit(2) * F.col("_gp") - F.col("_gn")))
+    first = prefix_sums(classes, [("_imb", True), ("_gn", True), ("_gp", False)], ["_c"])
+    first = first.select("_gn", "_gp", (F.col("_c_cum") - F.col("_c")).alias("_first"))
+    ranked = uniform_rank(g, ["_gn", "_gp"], "_u", [group_col], "_rank").join(first, ["_gn", "_gp"])
+    rank = F.col("_first") + F.col("_rank")
     pos = rank % k
     fold = F.when((F.floor(rank / k) % 2) == 0, pos).otherwise(F.lit(k - 1) - pos).cast("int")
-    return r.select(group_col, "_gn", "_gp", fold.alias("fold"))
+    return ranked.select(group_col, "_gn", "_gp", fold.alias("fold"))
 
 
 def stratified_group_split(df: DataFrame, label: str = "label", group_col: str = "group", k: int = 5,
@@ -125,7 +135,7 @@ def group_shuffle_split(df: DataFrame, group_col: str = "group", test_size: floa
     ranked = uniform_rank(g, [], "_u", [group_col], "_rank")
     tagged = ranked.select(group_col, F.when(F.col("_rank") < n_test, F.lit(TEST)).otherwise(F.lit(TRAIN))
                            .alias(split_col))
-    return df.join(broadcast_if_small(tagged, broadcast_rows), group_col)
+    return df.join(broadcast_if_small(tagged, broadcast_rows, n_groups), group_col)
 
 
 def split(df: DataFrame, mode: str = "group", label: str = "label", key: str = "trip_key", test_size: float = 0.2,

@@ -25,7 +25,7 @@ from punctual.operators import split as S
 from punctual.operators.baseline import majority_baseline
 from punctual.operators.encode import EncodingSpec
 
-BOOST_ROUNDS = 20  # the reference uses 400; rounds are a parameter
+BOOST_ROUNDS = 400
 
 
 @dataclass
@@ -60,13 +60,26 @@ def split_main(d: DataFrame, mode: str = "group", row_id: str = "trip_key", seed
 MAIN_SPEC = EncodingSpec(prep.EXPERIMENT_CATEGORIES, prep.EXPERIMENT_NUMERICS, drop_first=False, with_mean=False)
 
 
-def run_main(trips: DataFrame, mode: str = "group", rounds: int = BOOST_ROUNDS, seed: int = 42) -> dict:
-    """Returns the fitted models, scored test rows (three models) and summary."""
+def fit_main_boosted(train: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 42,
+                     snapshot: str | None = None) -> M.TrainedModel:
+    return M.train_shared(train, MAIN_SPEC, "Boosted Trees", {"n_estimators": rounds}, "positive", seed=seed,
+                          snapshot=snapshot)
+
+
+def fit_main_lr(train: DataFrame, snapshot: str | None = None) -> M.TrainedModel:
+    return M.train_shared(train, MAIN_SPEC, "Logistic Regression", {"max_iter": 3000}, "balanced", snapshot=snapshot)
+
+
+def run_main(trips: DataFrame, mode: str = "group", rounds: int = BOOST_ROUNDS, seed: int = 42,
+             snapshot: str | None = None) -> dict:
+    """Returns the fitted models, scored test rows (three models) and summary.
+    With ``snapshot`` (a name of the trips' source) fits are shared between callers."""
+    named = snapshot and f"{snapshot}|main|{mode}|{seed}"
     d = prepare_main(trips)
     sp = split_main(d, mode, seed=seed)
     train, test = sp.train, sp.test
-    lr = M.train(train, MAIN_SPEC, "Logistic Regression", {"max_iter": 3000}, "balanced")
-    gbt = M.train(train, MAIN_SPEC, "Boosted Trees", {"n_estimators": rounds}, "positive", seed=seed)
+    lr = fit_main_lr(train, named)
+    gbt = fit_main_boosted(train, rounds, seed, named)
     keep = ["trip_key", "label"]
     scored = [M.score(lr, test, keep=keep).withColumn("model", F.lit("Logistic Regression")),
               M.score(gbt, test, keep=keep).withColumn("model", F.lit("Boosted Trees")),
@@ -95,13 +108,15 @@ def second_features(trips: DataFrame) -> DataFrame:
     return prep.impute_median(d, ["stop_distance_km", "temperature_celsius", "departure_minutes"])
 
 
-def run_second(trips: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 42) -> dict:
+def run_second(trips: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 42, snapshot: str | None = None) -> dict:
+    named = snapshot and f"{snapshot}|second|{seed}"
     d = second_features(trips)
     s = S.stratified_split(d, "label", "trip_key", 0.2, seed)
     train, test = s.where(F.col("split") == S.TRAIN).cache(), s.where(F.col("split") == S.TEST).cache()
-    lr = M.train(train, SECOND_SPEC, "Logistic Regression", {"max_iter": 2000}, "balanced")
-    gbt = M.train(train, SECOND_SPEC, "Boosted Trees",
-                  {"n_estimators": rounds, "subsample": 0.9, "colsample": 0.9}, "positive", seed=seed)
+    lr = M.train_shared(train, SECOND_SPEC, "Logistic Regression", {"max_iter": 2000}, "balanced", snapshot=named)
+    gbt = M.train_shared(train, SECOND_SPEC, "Boosted Trees",
+                         {"n_estimators": rounds, "subsample": 0.9, "colsample": 0.9}, "positive", seed=seed,
+                         snapshot=named)
     keep = ["trip_key", "label"]
     sc = (M.score(lr, test, keep=keep).withColumn("model", F.lit("LogisticRegression"))
           .unionByName(M.score(gbt, test, keep=keep).withColumn("model", F.lit("BoostedTrees"))))

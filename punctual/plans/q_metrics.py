@@ -27,7 +27,7 @@ def models_scored(spark, sf) -> DataFrame:
     """Three scored models on the same test rows: the additive score, a
     distance-only score and the majority baseline fitted on earlier trips."""
     t = trips(spark, sf).where(F.col("delay_minutes").isNotNull())
-    s = scored_trips(t).join(t.select("trip_key", "date"), "trip_key")
+    s = scored_trips(t, extra=("date",))
     test = s.where(F.col("date") >= F.lit(CUTOFF).cast("date")).drop("date")
     train = s.where(F.col("date") < F.lit(CUTOFF).cast("date")).drop("date")
     distance = (t.where(F.col("date") >= F.lit(CUTOFF).cast("date"))

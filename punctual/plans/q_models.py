@@ -6,6 +6,7 @@ SQL twin (rows-only check); encoder statistics and vocabularies do.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from punctual.operators import aggregates as A
@@ -14,8 +15,8 @@ from punctual.operators import explain as XP
 from punctual.operators import models as M
 from punctual.operators import prep
 from punctual.plans import experiments as EX
-from punctual.plans.registry import register, with_trips
-from punctual.sources.fixture import trips
+from punctual.plans.registry import SCORED, register, with_trips
+from punctual.sources.fixture import scored_trips, source_fingerprint, trips
 
 R6 = 6
 _SCALE_COLS = ["stop_distance_km", "temperature_celsius", "time_of_day"]
@@ -44,7 +45,7 @@ def standard_scaled(spark, sf):
 _VOCAB_COLS = ["route", "traffic_condition", "weather", "special_event", "destination"]
 
 
-@register("category_vocabulary", ["M1", "M2", "M6", "P6"], with_trips(
+@register("category_vocabulary", ["M1", "M6", "P6"], with_trips(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, level, CAST(row_number() OVER (ORDER BY level) - 1 AS INTEGER) AS slot "
         f"FROM (SELECT DISTINCT CASE WHEN {c} IS NULL THEN '{'NoEvent' if c == 'special_event' else 'Unknown'}' "
@@ -57,11 +58,85 @@ def category_vocabulary(spark, sf):
     return spark.createDataFrame(rows, "column_name string, level string, slot int")
 
 
+_SLOT_COLS = ["route", "traffic_condition", "weather", "special_event"]
+
+
+def _s_slots(drop_first: bool) -> str:
+    out = []
+    for c in _SLOT_COLS:
+        level = f"coalesce({c}, '{'NoEvent' if c == 'special_event' else 'Unknown'}')"
+        rest = f"WHERE level > (SELECT min({level}) FROM trips)" if drop_first else ""
+        out.append(f"SELECT {str(drop_first).lower()} AS drop_first, '{c}_' || level AS slot_name, count(*) AS n_rows "
+                   f"FROM (SELECT {level} AS level FROM trips) {rest} GROUP BY level")
+    out.append(f"SELECT {str(drop_first).lower()}, 'time_of_day', count(*) FROM trips "
+               f"WHERE time_of_day <> (SELECT avg(time_of_day) FROM trips)")
+    return " UNION ALL ".join(out)
+
+
+@register("encoded_slot_counts", ["M1", "M2", "M3", "M5", "M6"],
+          with_trips(_s_slots(False) + " UNION ALL " + _s_slots(True)))
+def encoded_slot_counts(spark, sf):
+    """Rows with a value other than zero in every named slot of the encoded
+    vectors, with all levels and without each column's first one."""
+    t = prep.clean_categories(trips(spark, sf), _SLOT_COLS)
+    out = None
+    for drop_first in (False, True):
+        spec = E.EncodingSpec(_SLOT_COLS, ["time_of_day"], drop_first=drop_first)
+        enc = E.fit_encoder(t, spec)
+        slots = enc.transform(t).select(F.posexplode(vector_to_array("features")).alias("slot", "value"))
+        names = F.array(*[F.lit(n) for n in E.feature_names(enc, spec)])
+        counts = (slots.where("value <> 0").groupBy("slot").agg(F.count(F.lit(1)).alias("n_rows"))
+                  .select(F.lit(drop_first).alias("drop_first"), F.get(names, F.col("slot")).alias("slot_name"), "n_rows"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+_EFFECT = "round(avg(CAST(delay_minutes AS DOUBLE)) - 3e0, 6)"
+_S_EFFECTS = " UNION ALL ".join(
+    f"SELECT '{c}_' || {c} AS feature, {_EFFECT} AS coef FROM trips WHERE {c} IS NOT NULL AND delay_minutes IS NOT NULL "
+    f"GROUP BY {c}" for c in _SLOT_COLS)
+
+
+def _level_effects(spark, sf):
+    """Mean delay of every level, less three minutes, as (feature, coef, abs_coef)."""
+    t = trips(spark, sf).where("delay_minutes IS NOT NULL")
+    out = None
+    for c in _SLOT_COLS:
+        e = t.where(F.col(c).isNotNull()).groupBy(F.concat(F.lit(f"{c}_"), c).alias("feature")).agg(
+            F.round(F.avg(F.col("delay_minutes").cast("double")) - 3.0, R6).alias("coef"))
+        out = e if out is None else out.unionByName(e)
+    return out.withColumn("abs_coef", F.abs("coef"))
+
+
+@register("top_level_effects", ["K3", "K4"], with_trips(
+    f"SELECT feature, coef, abs(coef) AS abs_coef FROM ({_S_EFFECTS}) ORDER BY abs(coef) DESC, feature LIMIT 10"))
+def top_level_effects(spark, sf):
+    """The ten levels that move the mean delay most, sorted by the signed effect."""
+    return M.top_by_abs(_level_effects(spark, sf), 10)
+
+
+@register("top_level_importances", ["K5"], with_trips(
+    f"SELECT feature, abs(coef) AS importance FROM ({_S_EFFECTS}) ORDER BY abs(coef) DESC, feature LIMIT 8"))
+def top_level_importances(spark, sf):
+    return M.top_importances(_level_effects(spark, sf).select("feature", F.col("abs_coef").alias("importance")), 8)
+
+
+@register("scored_columns", ["M15", "M16", "X21"], with_trips(f"""
+SELECT trip_key, score, CASE WHEN score >= 5e-1 THEN 1 ELSE 0 END AS prediction,
+  round(100e0 * greatest(score, 1e0 - score), {R6}) AS confidence, round(100e0 * (1e0 - score), {R6}) AS on_time_prob,
+  CASE WHEN score >= 5e-1 THEN 'Late' ELSE 'On-Time' END AS predicted_status FROM scored""", scored=SCORED))
+def scored_columns(spark, sf):
+    """Prediction at 0.5, confidence, on-time share and status from given probabilities."""
+    s = scored_trips(trips(spark, sf)).withColumnRenamed("score", "late")
+    out = M.with_status(M.scored_from(s, F.array(F.lit(1.0) - F.col("late"), F.col("late")), 0.5, ["trip_key"]))
+    return out.withColumns({c: F.round(c, R6) for c in ("confidence", "on_time_prob")})
+
+
 @register("main_experiment_summary", ["M1", "M4", "M5", "M7", "M11", "M14", "M16", "A2", "D5", "P6", "P14",
                                       "V5", "D8"])
 def main_experiment_summary(spark, sf):
     """Main experiment end to end: summary of LR, boosted trees and baseline."""
-    r = EX.run_main(trips(spark, sf))
+    r = EX.run_main(trips(spark, sf), snapshot=source_fingerprint(spark, sf))
     return r["summary"]
 
 
@@ -70,7 +145,7 @@ def lr_top_coefficients(spark, sf):
     """Top-25 LR coefficients by |coef|, re-sorted by signed value."""
     d = EX.prepare_main(trips(spark, sf))
     sp = EX.split_main(d, "group")
-    lr = M.train(sp.train, EX.MAIN_SPEC, "Logistic Regression", {"max_iter": 3000}, "balanced")
+    lr = EX.fit_main_lr(sp.train, f"{source_fingerprint(spark, sf)}|main|group|42")
     return M.top_by_abs(M.coefficient_table(spark, lr), 25)
 
 
@@ -79,7 +154,7 @@ def boosted_shap_summary(spark, sf):
     """Mean |SHAP| of the boosted model over a 2000-row test sample, top 25."""
     d = EX.prepare_main(trips(spark, sf))
     sp = EX.split_main(d, "group")
-    gbt = M.train(sp.train, EX.MAIN_SPEC, "Boosted Trees", {"n_estimators": EX.BOOST_ROUNDS}, "positive")
+    gbt = EX.fit_main_boosted(sp.train, snapshot=f"{source_fingerprint(spark, sf)}|main|group|42")
     from punctual.operators.builder import sample_without_replacement
     sample = sample_without_replacement(sp.test, 2000, "trip_key")
     features = gbt.model.transform(sample).select("trip_key", "features")
@@ -91,24 +166,38 @@ def boosted_shap_summary(spark, sf):
                                         "IO6"])
 def second_experiment_metrics(spark, sf):
     """Second experiment: accuracy, macro-F1, balanced accuracy, ROC AUC, AUPRC."""
-    return EX.run_second(trips(spark, sf))["summary"]
+    return EX.run_second(trips(spark, sf), snapshot=source_fingerprint(spark, sf))["summary"]
 
 
-@register("engine_grid_search", ["M2", "M3", "M5", "M12", "M13", "D7", "V7", "X1", "X4", "P5"])
+@register("engine_grid_search", ["M2", "M3", "M5", "M13", "D7", "V7", "X1", "X4", "P5"])
 def engine_grid_search(spark, sf):
     """UI engine: LR over C in {0.1, 1, 10}, 5-fold CV by accuracy, metrics record."""
     r = EX.run_engine(trips(spark, sf), "Logistic Regression", None, 3)
     return M.training_record(spark, r["scored"], r["best"])
 
 
+@register("engine_grid_search_tree", ["M8", "M13", "V7"])
+def engine_grid_search_tree(spark, sf):
+    """UI engine: decision tree over its four depths, 5-fold CV by accuracy, metrics record."""
+    r = EX.run_engine(trips(spark, sf), "Decision Tree Classifier")
+    return M.training_record(spark, r["scored"], r["best"])
+
+
+@register("engine_unknown_model", ["M12", "V7"])
+def engine_unknown_model(spark, sf):
+    """UI engine with a model name it does not know: plain logistic regression, nothing to search."""
+    r = EX.run_engine(trips(spark, sf), "no such model")
+    return M.training_record(spark, r["scored"], r["best"])
+
+
 @register("engine_tree_importances", ["M8", "M9", "M10", "M17", "K5"])
 def engine_tree_importances(spark, sf):
-    """Top-8 importances of a depth-10 tree, a small forest and boosted model."""
+    """Top-8 importances of a depth-10 tree, a forest of 100 trees and 100 boosting rounds."""
     d, spec = EX.engine_features(trips(spark, sf))
     out = None
     for kind, params in [("Decision Tree Classifier", {"max_depth": 10}),
-                         ("Random Forest Classifier", {"n_estimators": 20, "max_depth": 10, "min_samples_split": 2}),
-                         ("Gradient Boosting Classifier", {"n_estimators": 20, "learning_rate": 0.1,
+                         ("Random Forest Classifier", {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}),
+                         ("Gradient Boosting Classifier", {"n_estimators": 100, "learning_rate": 0.1,
                                                            "max_depth": 3})]:
         m = M.train(d, spec, kind, params)
         top = M.top_importances(M.importance_table(spark, m), 8).withColumn("model", F.lit(kind))
@@ -153,5 +242,5 @@ def model_roundtrip(spark, sf):
 @register("confusion_by_model", ["A9", "V6"])
 def confusion_by_model(spark, sf):
     """Confusion matrices of the main experiment's three models."""
-    r = EX.run_main(trips(spark, sf))
+    r = EX.run_main(trips(spark, sf), snapshot=source_fingerprint(spark, sf))
     return A.confusion_matrix(r["scored"], by=["model"])

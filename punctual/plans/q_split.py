@@ -64,9 +64,9 @@ def time_split(spark, sf):
     return S.time_split(d, "date", "trip_key", 0.2, SEED).select("trip_key", "label", "split")
 
 
-@register("stratified_group_split", ["D5", "X19"], with_trips(S_L + """
+@register("stratified_group_split", ["D5", "X19"], with_trips(S_L + f"""
 , g AS (SELECT grp, count(*) AS gn, sum(label) AS gp FROM l GROUP BY grp),
-r AS (SELECT *, row_number() OVER (ORDER BY abs(2 * gp - gn) DESC, gn DESC, gp ASC, grp ASC) - 1 AS rk FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY abs(2 * gp - gn) DESC, gn DESC, gp ASC, {sql_uniform('grp', f'snake{SEED}')}, grp ASC) - 1 AS rk FROM g),
 f AS (SELECT grp, CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END AS fold FROM r)
 SELECT l.trip_key, l.label, l.grp AS "group", CASE WHEN f.fold = 0 THEN 'test' ELSE 'train' END AS split
 FROM l JOIN f USING (grp)"""))
@@ -76,9 +76,9 @@ def stratified_group_split(spark, sf):
     return S.stratified_group_split(d, "label", "group", 5).select("trip_key", "label", "group", "split")
 
 
-@register("group_fold_sizes", ["D5"], with_trips(S_L + """
+@register("group_fold_sizes", ["D5"], with_trips(S_L + f"""
 , g AS (SELECT grp, count(*) AS gn, sum(label) AS gp FROM l GROUP BY grp),
-r AS (SELECT *, row_number() OVER (ORDER BY abs(2 * gp - gn) DESC, gn DESC, gp ASC, grp ASC) - 1 AS rk FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY abs(2 * gp - gn) DESC, gn DESC, gp ASC, {sql_uniform('grp', f'snake{SEED}')}, grp ASC) - 1 AS rk FROM g),
 f AS (SELECT *, CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END AS fold FROM r)
 SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_groups, CAST(sum(gn) AS BIGINT) AS n_rows,
   round(sum(gp) / sum(gn), 6) AS late_rate

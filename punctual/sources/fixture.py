@@ -49,7 +49,7 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     parts = [FIXTURE_VERSION, sf_dir]
     for t in SOURCE_TABLES:
         fs, p = _hadoop_fs(spark, table_path(sf_dir, t))
@@ -73,7 +73,7 @@ def trips(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     """
     if not materialize:
         return build_trips(spark, sf_dir)
-    key = _source_fingerprint(spark, sf_dir)
+    key = source_fingerprint(spark, sf_dir)
     path = _MATERIALIZED.get(key)
     if path is None:
         path = shared_path(spark, f"trips-{key}")
@@ -102,8 +102,8 @@ def build_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
     # nation/region are tiny dimension tables; the bound is checked, not assumed.
-    geo = nation.join(broadcast_if_small(region, 10_000, f"{sf_dir}/region"), nation.n_regionkey == region.r_regionkey)
-    sup = supplier.join(broadcast_if_small(geo, 10_000, f"{sf_dir}/nation*region"),
+    geo = nation.join(broadcast_if_small(region, 10_000), nation.n_regionkey == region.r_regionkey)
+    sup = supplier.join(broadcast_if_small(geo, 10_000),
                         supplier.s_nationkey == geo.n_nationkey) \
         .select("s_suppkey", "r_name")
     b = (li.join(orders, li.l_orderkey == orders.o_orderkey)
@@ -302,7 +302,7 @@ UNION ALL
 SELECT *, trip_key || '#1' AS row_id FROM trips WHERE {bucket} = 0"""
 
 
-def scored_trips(t: DataFrame, model: str = "additive") -> DataFrame:
+def scored_trips(t: DataFrame, model: str = "additive", extra: tuple[str, ...] = ()) -> DataFrame:
     """F5 scored rows without training: score = logistic of the additive
     effects (centred), rounded to 6 decimals so ties occur; label from P8."""
     from punctual.functions.features import additive_delay_effect
@@ -314,7 +314,7 @@ def scored_trips(t: DataFrame, model: str = "additive") -> DataFrame:
         F.lit(model).alias("model"), "trip_key",
         late_from_delay().alias("label"),
         flag(score >= F.lit(0.5)).alias("prediction"),
-        score.alias("score"))
+        score.alias("score"), *extra)
 
 
 def scored_trips_sql(model: str = "additive") -> str:

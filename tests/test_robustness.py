@@ -33,10 +33,10 @@ def test_fingerprint_sees_a_partition_change(spark, sf, tmp_path):
         folder = tmp_path / f"{t}.parquet" / "p=1"
         folder.mkdir(parents=True)
         shutil.copy(f"{sf}/{t}.parquet", folder / "a.parquet")
-    before = fixture._source_fingerprint(spark, str(tmp_path))
-    assert before == fixture._source_fingerprint(spark, str(tmp_path))
+    before = fixture.source_fingerprint(spark, str(tmp_path))
+    assert before == fixture.source_fingerprint(spark, str(tmp_path))
     shutil.copy(f"{sf}/lineitem.parquet", tmp_path / "lineitem.parquet" / "p=1" / "b.parquet")
-    assert fixture._source_fingerprint(spark, str(tmp_path)) != before
+    assert fixture.source_fingerprint(spark, str(tmp_path)) != before
 
 
 @pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
