@@ -50,7 +50,7 @@ def calendar_dates(spark, sf):
                       .alias("day_of_week"))
 
 
-@register("build_trip_table", ["J2", "J3", "J4", "J5", "X7", "X8", "X9", "K1"], with_trips(S_LABELLED + f"""
+S_BUILT = with_trips(S_LABELLED + f"""
 , tt0 AS (SELECT DISTINCT {', '.join(TT)} FROM l),
 tt AS ({s_dense('tt0', TT, 'tt', '_tt')}),
 cx AS ({s_dense('l', ['trip_key'], 'cx', '_cx')}),
@@ -63,8 +63,10 @@ gen2 AS (SELECT date, _tt, {sql_hash_mod("strftime(date, '%Y-%m-%d') || '|' || C
 SELECT strftime(gen2.date, '%Y-%m-%d') AS date, dayname(gen2.date) AS day_of_week,
   {s_bucket_text('tt.departure_time')} AS time_of_day,
   {', '.join('tt.' + c for c in TT)}, {', '.join('cx.' + c for c in CTX)}
-FROM gen2 JOIN tt ON gen2._tt = tt._tt JOIN cx ON gen2._cx = cx._cx"""))
-def build_trip_table(spark, sf):
+FROM gen2 JOIN tt ON gen2._tt = tt._tt JOIN cx ON gen2._cx = cx._cx""")
+
+
+def built_trips(spark, sf):
     """Timetable (distinct trips) x calendar from the first trip date, sized to
     the trip count, each row with one context trip drawn with replacement."""
     t = prep.label_trips(trips(spark, sf))
@@ -72,6 +74,12 @@ def build_trip_table(spark, sf):
     return B.build_trip_table(t.select(*TT), t, start, None, "trip_key", SEED, target_rows=target)
 
 
+@register("build_trip_table", ["J2", "J3", "J4", "J5", "X7", "X8", "X9", "K1"], S_BUILT)
+def build_trip_table(spark, sf):
+    """Every timetable entry on every day, as many days as give the trip count."""
+    return built_trips(spark, sf)
+
+
 def _s_boot_src() -> str:
     return S_LABELLED + f"""
 , src AS ({s_dense('l', ['trip_key'], 'boot', '_src')}),

@@ -1,8 +1,8 @@
 """Queries for curves and evaluation metrics.
 
 Scored rows come from the fixture's deterministic score (no training), so
-every metric has an exact SQL twin.  The test set is trips shipped from
-1997 on; the baseline learns from the earlier ones.
+every metric has an exact SQL twin.  The test set is the last fifth of the
+trips by date (D4); the baseline learns from the earlier ones.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.functions.hashing import sql_uniform
 from punctual.operators import curves as W
 from punctual.operators.baseline import majority_baseline
+from punctual.operators.split import TEST, TRAIN, time_split
 from punctual.plans.registry import SCORED, register, with_trips
 from punctual.sources.fixture import scored_trips, trips
 
 R6 = 6
-CUTOFF = "1997-01-01"
+SEED = 42
+TEST_SIZE = 0.2
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -24,33 +27,33 @@ def _scored(spark, sf) -> DataFrame:
 
 
 def models_scored(spark, sf) -> DataFrame:
-    """Three scored models on the same test rows: the additive score, a
-    distance-only score and the majority baseline fitted on earlier trips."""
+    """Three scored models on the test rows of the time split (D4): the additive
+    score, a distance-only score and the majority baseline fitted on earlier trips."""
     t = trips(spark, sf).where(F.col("delay_minutes").isNotNull())
-    s = scored_trips(t, extra=("date",))
-    test = s.where(F.col("date") >= F.lit(CUTOFF).cast("date")).drop("date")
-    train = s.where(F.col("date") < F.lit(CUTOFF).cast("date")).drop("date")
-    distance = (t.where(F.col("date") >= F.lit(CUTOFF).cast("date"))
-                 .select(F.lit("distance").alias("model"), "trip_key",
-                         F.when(F.col("delay_minutes") > 5, 1).otherwise(0).alias("label"),
-                         F.when(F.col("stop_distance_km") >= 12.5, 1).otherwise(0).alias("prediction"),
-                         F.round(F.col("stop_distance_km") / F.lit(25.0), 6).alias("score")))
+    s = time_split(scored_trips(t, extra=("date", "stop_distance_km")), "date", "trip_key", TEST_SIZE, SEED)
+    test, train = s.where(F.col("split") == TEST), s.where(F.col("split") == TRAIN)
+    additive = test.select("model", "trip_key", "label", "prediction", "score")
+    distance = test.select(F.lit("distance").alias("model"), "trip_key", "label",
+                           F.when(F.col("stop_distance_km") >= 12.5, 1).otherwise(0).alias("prediction"),
+                           F.round(F.col("stop_distance_km") / F.lit(25.0), 6).alias("score"))
     base = majority_baseline(train.select("trip_key", "label"), test.select("trip_key", "label"))
-    return test.unionByName(distance).unionByName(base.select(*test.columns))
+    return additive.unionByName(distance).unionByName(base)
 
 
 S_MODELS = f"""
-, t AS (SELECT * FROM trips WHERE delay_minutes IS NOT NULL),
-s AS (SELECT sc.*, t.date FROM ({SCORED}) sc JOIN t USING (trip_key)),
-test AS (SELECT model, trip_key, label, prediction, score FROM s WHERE date >= DATE '{CUTOFF}'),
-train AS (SELECT label FROM s WHERE date < DATE '{CUTOFF}'),
+, t AS (SELECT * FROM trips WHERE delay_minutes IS NOT NULL AND date IS NOT NULL),
+s AS (SELECT sc.*, t.stop_distance_km, count(*) OVER () AS n_all,
+        row_number() OVER (ORDER BY t.date, {sql_uniform('trip_key', f'time{SEED}')}, trip_key) - 1 AS rk
+      FROM ({SCORED}) sc JOIN t USING (trip_key)),
+cut AS (SELECT *, rk < CAST(floor((1 - 2e-1) * n_all) AS BIGINT) AS is_train FROM s),
+test AS (SELECT * FROM cut WHERE NOT is_train),
+train AS (SELECT label FROM cut WHERE is_train),
 mode AS (SELECT label AS m FROM train GROUP BY label ORDER BY count(*) DESC, label ASC LIMIT 1),
 rate AS (SELECT avg(CAST(label AS DOUBLE)) AS r FROM train),
 models AS (
-  SELECT * FROM test
-  UNION ALL SELECT 'distance', trip_key, CASE WHEN delay_minutes > 5 THEN 1 ELSE 0 END,
-    CASE WHEN stop_distance_km >= 125e-1 THEN 1 ELSE 0 END, round(stop_distance_km / 25e0, 6)
-    FROM t WHERE date >= DATE '{CUTOFF}'
+  SELECT model, trip_key, label, prediction, score FROM test
+  UNION ALL SELECT 'distance', trip_key, label,
+    CASE WHEN stop_distance_km >= 125e-1 THEN 1 ELSE 0 END, round(stop_distance_km / 25e0, 6) FROM test
   UNION ALL SELECT 'Majority Baseline', trip_key, label, (SELECT m FROM mode), (SELECT r FROM rate) FROM test)
 """
 

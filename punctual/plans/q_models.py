@@ -15,6 +15,7 @@ from punctual.operators import explain as XP
 from punctual.operators import models as M
 from punctual.operators import prep
 from punctual.plans import experiments as EX
+from punctual.plans.q_build import S_BUILT, built_trips
 from punctual.plans.registry import SCORED, register, with_trips
 from punctual.sources.fixture import scored_trips, source_fingerprint, trips
 
@@ -205,6 +206,57 @@ def engine_tree_importances(spark, sf):
     return out
 
 
+_BUCKET = EX.ENGINE_BUCKET_HOUR
+_BUCKET_KEPT = ["date", "day_of_week", "time_of_day", "route", "trip_no", "departure_time", "special_event",
+                "is_rush_hour", "is_weekend", "label"]
+# The builder's rows with the engine's features, from the builder's own SQL.
+_S_BUCKET = f"""
+SELECT * REPLACE (coalesce(special_event, 'None') AS special_event),
+  CASE WHEN time_of_day IN ('Morning', 'Evening') THEN 1 ELSE 0 END AS is_rush_hour,
+  CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 1 ELSE 0 END AS is_weekend,
+  CASE WHEN arrival_status = 'Late' THEN 1 ELSE 0 END AS label
+FROM ({S_BUILT})"""
+
+
+def _bucket_features(spark, sf):
+    d, spec = EX.engine_features(built_trips(spark, sf))
+    if spec != _BUCKET:
+        raise ValueError("the built trips should take the bucket-hour columns")
+    return d
+
+
+@register("engine_bucket_features", ["X2", "X4", "P5", "P11"],
+          f"SELECT {', '.join(_BUCKET_KEPT)}, count(*) AS n_trips FROM ({_S_BUCKET}) GROUP BY ALL")
+def engine_bucket_features(spark, sf):
+    """Engine features of the builder's output, whose hours are bucket texts."""
+    return _bucket_features(spark, sf).groupBy(*_BUCKET_KEPT).agg(F.count(F.lit(1)).alias("n_trips"))
+
+
+def _s_bucket_slots() -> str:
+    out = [f"SELECT '{c}_' || {c} AS slot_name, count(*) AS n_rows FROM f WHERE {c} > (SELECT min({c}) FROM f) GROUP BY {c}"
+           for c in _BUCKET.categorical]
+    out += [f"SELECT '{c}', count(*) FROM f WHERE {c} <> (SELECT avg({c}) FROM f) HAVING count(*) > 0" for c in _BUCKET.numeric]
+    return f"WITH f AS ({_S_BUCKET}) " + " UNION ALL ".join(out)
+
+
+@register("engine_bucket_slot_counts", ["M2", "M3", "M5", "M6"], _s_bucket_slots())
+def engine_bucket_slot_counts(spark, sf):
+    """Rows with a value other than zero in every slot of the bucket-hour encoding of the builder's output."""
+    d = _bucket_features(spark, sf)
+    enc = E.fit_encoder(d, _BUCKET)
+    slots = enc.transform(d).select(F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    names = F.array(*[F.lit(n) for n in E.feature_names(enc, _BUCKET)])
+    return (slots.where("value <> 0").groupBy("slot").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(F.get(names, F.col("slot")).alias("slot_name"), "n_rows"))
+
+
+@register("engine_bucket_importances", ["M5", "M8", "M17", "K5"])
+def engine_bucket_importances(spark, sf):
+    """Top-8 importances of a depth-10 tree fitted on the builder's output."""
+    m = M.train(_bucket_features(spark, sf), _BUCKET, "Decision Tree Classifier", {"max_depth": 10})
+    return M.top_importances(M.importance_table(spark, m), 8)
+
+
 @register("cli_tree_report", ["M8", "A9", "A10", "IO3", "M16"])
 def cli_tree_report(spark, sf):
     """CLI flow with the depth-10 tree: classification report of the test set."""
