@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions.hashing import sql_uniform
 from punctual.operators import curves as W
-from punctual.operators.baseline import majority_baseline
+from punctual.operators.baseline import majority_values
 from punctual.operators.split import TEST, TRAIN, time_split
 from punctual.plans.registry import SCORED, register, with_trips
 from punctual.sources.fixture import scored_trips, trips
@@ -32,12 +32,16 @@ def models_scored(spark, sf) -> DataFrame:
     t = trips(spark, sf).where(F.col("delay_minutes").isNotNull())
     s = time_split(scored_trips(t, extra=("date", "stop_distance_km")), "date", "trip_key", TEST_SIZE, SEED)
     test, train = s.where(F.col("split") == TEST), s.where(F.col("split") == TRAIN)
-    additive = test.select("model", "trip_key", "label", "prediction", "score")
-    distance = test.select(F.lit("distance").alias("model"), "trip_key", "label",
-                           F.when(F.col("stop_distance_km") >= 12.5, 1).otherwise(0).alias("prediction"),
-                           F.round(F.col("stop_distance_km") / F.lit(25.0), 6).alias("score"))
-    base = majority_baseline(train.select("trip_key", "label"), test.select("trip_key", "label"))
-    return additive.unionByName(distance).unionByName(base)
+    mode, rate = majority_values(train)
+    one = lambda model, prediction, score: F.struct(
+        F.lit(model).alias("model"), prediction.alias("prediction"), score.alias("score"))
+    # All models from one reading of the test rows.
+    models = F.array(one("additive", F.col("prediction"), F.col("score")),
+                     one("distance", F.when(F.col("stop_distance_km") >= 12.5, 1).otherwise(0),
+                         F.round(F.col("stop_distance_km") / F.lit(25.0), 6)),
+                     one("Majority Baseline", F.lit(mode), F.lit(rate)))
+    return test.select("trip_key", "label", F.explode(models).alias("m")).select("m.model", "trip_key", "label",
+                                                                                 "m.prediction", "m.score")
 
 
 S_MODELS = f"""
