@@ -2,7 +2,7 @@
 
 Every paragraph earns points for its length and commas, discounted by its
 share of link text, and passes them to its ancestors; the best container and
-those of its siblings that score well too are kept.
+those of its siblings that score well too, or are text of few links, are kept.
 """
 
 from __future__ import annotations
@@ -35,8 +35,11 @@ KEPT_ROOTS = frozenset(("article", "main", "body", "html"))
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
           "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
           "option": (("option",), ("select",))}
-# Least points of a sibling that is kept, and its least share of the best container's.
+# Points of a sibling that is kept for them, and its least share of the best container's.
 SIBLING_POINTS, SIBLING_SHARE = 10.0, 0.2
+# Any other is kept if less than this share is links and it is longer than so many characters, or unlinked and a sentence.
+SIBLING_LINKS, SIBLING_CHARS = 0.25, 80
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u2019\u201d\u00bb)\]]*\Z")
 CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 SPLIT_WORDS = re.compile(r"[^a-z0-9]+")
 
@@ -158,14 +161,17 @@ def runs(top: Node) -> list[Run]:
     return [r for r in out if r.text]
 
 
+def worth(r: Run) -> float:
+    return (1 + r.text.count(",") + len(r.text) / 100) * max(0.0, 1 - r.linked / max(1, len("".join(r.parts))))
+
+
 def score(blocks: list[Run]) -> list[Node]:
     """Give points to the containers of ``blocks``; returns the containers in page order."""
     touched: dict[int, Node] = {}
     for r in blocks:
         if r.node.tag in HEADINGS:
             continue
-        text = r.text
-        points = (1 + text.count(",") + len(text) / 100) * max(0.0, 1 - r.linked / max(1, len("".join(r.parts))))
+        points = worth(r)
         node = r.node.parent if r.node.tag in PARAGRAPHS and r.node.parent is not None else r.node
         level = 0
         while node is not None and points > 0:
@@ -175,6 +181,69 @@ def score(blocks: list[Run]) -> list[Node]:
     return list(touched.values())
 
 
+def inside_main(node: Node | None) -> Node | None:
+    """The nearest of ``node`` and its ancestors that is marked as main text."""
+    while node is not None and not node.main:
+        node = node.parent
+    return node
+
+
+def siblings(best: Node) -> list[Node]:
+    """Blocks beside ``best`` and itself in page order; text and inline elements in a row make one block."""
+    out: list[Node] = []
+    loose = None
+    for c in best.parent.children:
+        if isinstance(c, str) or c is not best and c.tag in INLINE:
+            if loose is None:
+                loose = Node("p", best.parent)
+                out.append(loose)
+            loose.children.append(c)
+        else:
+            out.append(c)
+            loose = None
+    return out
+
+
+def belongs(blocks: list[Run], least: float) -> bool:
+    """Whether the text of a sibling goes with the best container's."""
+    rated = [r for r in blocks if r.node.tag not in HEADINGS]
+    if sum(map(worth, rated)) >= least:
+        return True
+    linked, length = sum(r.linked for r in blocks), sum(len("".join(r.parts)) for r in blocks)
+    if sum(len(r.text) for r in blocks) > SIBLING_CHARS:
+        return linked < SIBLING_LINKS * length
+    return not linked and SENTENCE.search(blocks[-1].text) is not None
+
+
+def with_siblings(best: Node) -> list[Run]:
+    """Blocks of ``best`` and of the siblings that belong to it.
+
+    Beside an element that is marked as main text only others so marked
+    count, unless all lie in one more.  A heading goes with what follows it.
+    """
+    least = max(SIBLING_POINTS, SIBLING_SHARE * best.points)
+    free = not best.main or inside_main(best.parent) is not None
+    found = []  # (blocks, level if only headings, kept)
+    for c in siblings(best):
+        if c is not best and (c.aside or not (free or c.main)):
+            continue
+        blocks = runs(c)
+        if blocks:
+            level = None if c is best or any(r.node.tag not in HEADINGS for r in blocks) else min(int(r.node.tag[1]) for r in blocks)
+            found.append((blocks, level, c is best or level is None and belongs(blocks, least)))
+    out = []
+    for i, (blocks, level, kept) in enumerate(found):
+        if level is not None and sum(r.linked for r in blocks) < SIBLING_LINKS * sum(len("".join(r.parts)) for r in blocks):
+            left = False
+            for _, other, kept in found[i + 1:]:
+                if kept or other is not None and left and other <= level:
+                    break
+                left |= other is None
+        if kept:
+            out += blocks
+    return out
+
+
 def extract(html: str | None) -> str:
     """Main text of a page; blocks joined by two line feeds, empty if there is none."""
     if not html:
@@ -186,17 +255,8 @@ def extract(html: str | None) -> str:
     if not containers:
         return ""
     best = max(containers, key=lambda n: n.points)
-    up = best
-    while up is not None and not up.main:
-        up = up.parent
-    best = up or best
-    if best.parent is None:
-        kept = [best]
-    else:
-        least = max(SIBLING_POINTS, SIBLING_SHARE * best.points)
-        kept = [c for c in best.parent.children
-                if c is best or isinstance(c, Node) and not c.aside and c.points >= least and (c.main or not best.main)]
-    return "\n\n".join(r.text for n in kept for r in runs(n))
+    best = inside_main(best) or best
+    return "\n\n".join(r.text for r in (runs(best) if best.parent is None else with_siblings(best)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -86,6 +86,26 @@ def test_html(spark):
     assert op9_html.main_text(pages.limit(0)).count() == 0
 
 
+LONG = "A sentence of the article, with commas, and with words enough to be worth some points, " * 8 + "ends."
+SHORT = "A second section, of one short sentence."
+
+
+def test_html_keeps_text_beside_the_best_container():
+    three = "".join(f"<p>{LONG}</p>" for _ in range(3))
+    lead = LONG[:200]
+    whole = "\n\n".join([LONG] * 3)
+    beside = "Related" + "".join(f"<li><a href=/{i}>Another story, and more, {i}</a></li>" for i in range(9))
+    for page, text in [
+        (f"<body><h1>T</h1><p>{lead}</p><div>{three}</div></body>", f"T\n\n{lead}\n\n{whole}"),
+        (f"<body><h2>Kicker</h2><h1>T</h1><div><a href=x>By A</a></div>Bare <b>text</b> here.<div>{three}</div></body>",
+         f"Kicker\n\nT\n\nBare text here.\n\n{whole}"),
+        (f"<body><div><section>{three}</section><section><h2>Two</h2><p>{SHORT}</p></section></div></body>", f"{whole}\n\nTwo\n\n{SHORT}"),
+        (f"<body><p><a href=x>{lead}</a></p><div>{three}</div><h3>More</h3><ul>{beside}</ul><p>tag</p></body>", whole),
+        (f"<body><p>{SHORT}</p><main><h1>T</h1><article>{three}</article></main><p>{SHORT}</p></body>", f"T\n\n{whole}"),
+    ]:
+        assert op9_html.extract(page) == text
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     score, trans, start = rng.normal(size=(9, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
