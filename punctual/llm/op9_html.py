@@ -18,17 +18,24 @@ from punctual.llm.common import steps, strings
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never part of the main text, with all they hold.
-DROPPED = frozenset("script style noscript template nav footer aside form button select textarea iframe object svg canvas "
+DROPPED = frozenset("script style noscript template nav footer aside button select textarea iframe object svg canvas "
                     "head title menu dialog audio video map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class or id that mark something beside the article.
+# Words in class or id that hint at something beside the article.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
                         "disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup "
                         "promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
                         "toolbar widget".split())
+# Those of them for what others wrote or for other pages.
+OTHERS_WORDS = frozenset("comment comments disqus related replies reply respond".split())
+# A name made of the first only, or with one of the second, is no such hint.
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+STATE_WORDS = frozenset("disabled enabled has no with without".split())
+# A hinted block with less unlinked text is left out; the text of a longer one counts by this factor.
+LITTLE_CHARS, DOUBT = 250, 0.25
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 KEPT_ROOTS = frozenset(("article", "main", "body", "html"))
 # A start tag of the first closes an open one of the second, up to the nearest of the third.
@@ -45,12 +52,29 @@ SPLIT_WORDS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "parent", "children", "points", "main")
+    __slots__ = ("tag", "aside", "parent", "children", "points", "main", "hint", "others", "off", "linked", "plain", "mains", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, main: bool = False):
-        self.tag, self.parent, self.aside, self.main = tag, parent, aside, main
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, main: bool = False, hint: bool = False, others: bool = False):
+        self.tag, self.parent, self.aside, self.main, self.hint, self.others = tag, parent, aside, main, hint, others
         self.children: list[Node | str] = []
         self.points = 0.0
+        self.off = aside or parent is not None and parent.off
+        self.linked = tag == "a" or parent is not None and parent.linked
+        self.plain = self.mains = 0  # unlinked characters; elements marked as main text that hold any
+        self.doubt = False
+
+
+def hints(names: str) -> set[str]:
+    """Words of class and id that hint at something beside the article."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        words = set(SPLIT_WORDS.split(name)) - {""}
+        if words.isdisjoint(STATE_WORDS):
+            found = words & ASIDE_WORDS
+            out |= found - {"header"} if words & CONTENT_WORDS else found  # an entry-header heads the entry
+        if words and words <= CONTENT_WORDS:
+            return set()
+    return out
 
 
 class Tree(HTMLParser):
@@ -59,6 +83,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.nodes = [self.root]  # parents before children
 
     def _close(self, tags, until) -> None:
         node, target = self.at, None
@@ -78,18 +103,18 @@ class Tree(HTMLParser):
             self._close(("p", *HEADINGS) if tag in HEADINGS or tag in KEPT_ROOTS else ("p",),
                         ("table", "td", "th", "li", "blockquote", "div", "article", "section", "main", "body", "button"))
         a = {k: v or "" for k, v in attrs}
-        words = set(SPLIT_WORDS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        names = f"{a.get('class', '')} {a.get('id', '')}"
         main = tag in ("article", "main") or a.get("role") == "main"
         aside = tag in DROPPED or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ASIDE_ROLES
-        aside |= tag not in KEPT_ROOTS and not words.isdisjoint(ASIDE_WORDS)
-        node = Node(tag, self.at, aside, main)
-        if tag == "header":  # the page's, unless it heads the article
-            up = self.at
-            while up is not None and not up.main:
-                up = up.parent
-            node.aside |= up is None
-        elif tag == "article" and words & {"comment", "comments", "reply"}:
-            node.aside = True
+        aside |= tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(SPLIT_WORDS.split(names.lower()))
+        found = hints(names) if names != " " and not main and tag not in KEPT_ROOTS else set()
+        if found == {"header"} or tag == "header" and found <= {"header"}:  # the page's, unless it heads the article
+            found = set() if inside_main(self.at) else found
+        hint = bool(found) or tag == "form"
+        if tag == "header" and not hint and inside_main(self.at) is None:
+            hint = CONTENT_WORDS.isdisjoint(SPLIT_WORDS.split(names.lower()))
+        node = Node(tag, self.at, aside, main, hint, not found.isdisjoint(OTHERS_WORDS))
+        self.nodes.append(node)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -111,6 +136,46 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         if data:
             self.at.children.append(data)
+            if not self.at.off and not self.at.linked:
+                self.at.plain += len(" ".join(data.split()))
+
+    def settle(self) -> None:
+        """Leave out the hinted blocks with little text, doubt the longer ones.
+
+        Neither holds for a block with the main text of the page: the elements
+        so marked, or if there are none half of all unlinked text.
+        """
+        for n in reversed(self.nodes):
+            n.mains += n.main and not n.off and n.plain > 0
+            if n.parent is not None:
+                n.parent.plain += n.plain
+                n.parent.mains += n.mains
+        mains, plain = self.root.mains, self.root.plain
+        for n in self.nodes:
+            if n.hint and not n.off and not (n.mains == mains if mains else 2 * n.plain >= plain):
+                if n.plain < LITTLE_CHARS:
+                    n.aside = True
+                else:
+                    n.doubt = True
+            n.doubt |= n.parent is not None and n.parent.doubt
+
+    def leave_others(self, best: Node) -> None:
+        """Leave out comments and the like, unless ``best`` lies in them."""
+        above = set()
+        node: Node | None = best
+        while node is not None:
+            above.add(id(node))
+            node = node.parent
+        for n in self.nodes:
+            if n.others and n.doubt and id(n) not in above:
+                n.aside = True
+
+
+def inside_main(node: Node | None) -> Node | None:
+    """The nearest of ``node`` and its ancestors that is marked as main text."""
+    while node is not None and not node.main:
+        node = node.parent
+    return node
 
 
 class Run:
@@ -162,7 +227,8 @@ def runs(top: Node) -> list[Run]:
 
 
 def worth(r: Run) -> float:
-    return (1 + r.text.count(",") + len(r.text) / 100) * max(0.0, 1 - r.linked / max(1, len("".join(r.parts))))
+    points = (1 + r.text.count(",") + len(r.text) / 100) * max(0.0, 1 - r.linked / max(1, len("".join(r.parts))))
+    return points * DOUBT if r.node.doubt else points
 
 
 def score(blocks: list[Run]) -> list[Node]:
@@ -181,13 +247,6 @@ def score(blocks: list[Run]) -> list[Node]:
     return list(touched.values())
 
 
-def inside_main(node: Node | None) -> Node | None:
-    """The nearest of ``node`` and its ancestors that is marked as main text."""
-    while node is not None and not node.main:
-        node = node.parent
-    return node
-
-
 def siblings(best: Node) -> list[Node]:
     """Blocks beside ``best`` and itself in page order; text and inline elements in a row make one block."""
     out: list[Node] = []
@@ -196,6 +255,7 @@ def siblings(best: Node) -> list[Node]:
         if isinstance(c, str) or c is not best and c.tag in INLINE:
             if loose is None:
                 loose = Node("p", best.parent)
+                loose.doubt = best.parent.doubt
                 out.append(loose)
             loose.children.append(c)
         else:
@@ -209,6 +269,8 @@ def belongs(blocks: list[Run], least: float) -> bool:
     rated = [r for r in blocks if r.node.tag not in HEADINGS]
     if sum(map(worth, rated)) >= least:
         return True
+    if all(r.node.doubt for r in blocks):
+        return False
     linked, length = sum(r.linked for r in blocks), sum(len("".join(r.parts)) for r in blocks)
     if sum(len(r.text) for r in blocks) > SIBLING_CHARS:
         return linked < SIBLING_LINKS * length
@@ -251,11 +313,13 @@ def extract(html: str | None) -> str:
     tree = Tree()
     tree.feed(CUT_TAG.sub("", html))  # a page may break off inside a tag
     tree.close()
+    tree.settle()
     containers = score(runs(tree.root))
     if not containers:
         return ""
     best = max(containers, key=lambda n: n.points)
     best = inside_main(best) or best
+    tree.leave_others(best)
     return "\n\n".join(r.text for r in (runs(best) if best.parent is None else with_siblings(best)))
 
 

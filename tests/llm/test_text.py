@@ -106,6 +106,23 @@ def test_html_keeps_text_beside_the_best_container():
         assert op9_html.extract(page) == text
 
 
+def test_html_class_words_and_forms_spare_the_article():
+    three = "".join(f"<p>{LONG}</p>" for _ in range(3))
+    whole = "\n\n".join([LONG] * 3)
+    for page, text in [
+        *((f"<body><div {a}>{three}</div><div class=sidebar><p>Buy this, now.</p></div></body>", whole)
+          for a in ("class='content has-sidebar'", "id='page-with-sidebar'", "class='post share-enabled'", "class=widget")),
+        (f"<body><form id=aspnetForm><div><p>{SHORT}</p></div><input name=x></form></body>", SHORT),
+        (f"<body><form><div class='ad'>Buy</div><article><header class='entry-header'><h1>T</h1></header>{three}</article></form></body>", f"T\n\n{whole}"),
+        (f"<body><form><div class=widget><article><p>{SHORT}</p></article></div></form><p>{LONG}</p></body>", f"{SHORT}\n\n{LONG}"),
+        (f"<body><article>{three}<div class='social history'><p>{LONG}</p></div></article></body>", f"{whole}\n\n{LONG}"),
+        (f"<body><div class=entry><header class='entry-header'><h1>T</h1></header>{three}<form><p>Name, mail.</p></form>"
+         f"<div class='post-comments'><p>{LONG}</p></div></div><div class='newsletter'><p>{LONG[:300]}</p></div></body>", f"T\n\n{whole}"),
+        (f"<body><header><p>Site, name.</p></header><div id='main'>{three}</div><div class='comments'><p>{LONG}</p></div></body>", whole),
+    ]:
+        assert op9_html.extract(page) == text
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     score, trans, start = rng.normal(size=(9, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
