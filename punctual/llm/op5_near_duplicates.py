@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import setsketch
@@ -30,7 +30,7 @@ BANDS = 25
 SLACK = 4.5
 BLOCK = 1024
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SKETCH = "doc_id long, n_shingles long, key string, cls long, registers binary, bands array<long>"
+_SKETCH = "doc_id long, txt long, n_shingles long, key string, cls long, registers binary, bands array<long>"
 
 
 def shingles(text: str) -> np.ndarray:
@@ -45,6 +45,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(setsketch.mixed(sum(setsketch.mixed(h[i:n - WORDS + 1 + i] * m) * m for i, m in enumerate(_MULTIPLIERS))))
 
 
+def _txt() -> Column:
+    """With doc_id it tells rows apart, as ids may be null or repeated; rows equal in both are copies."""
+    return F.xxhash64("text", F.col("text").isNull())
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """Set size, class key, registers and band values of every document."""
 
@@ -64,13 +69,13 @@ def sketched(docs: DataFrame) -> DataFrame:
             band = setsketch.mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLIERS[1]).view(np.int64)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array([x and x.hex() for x in keys], pa.string()),
+                [b.column("doc_id"), b.column("txt"), pa.array(sizes.astype(np.int64)), pa.array([x and x.hex() for x in keys], pa.string()),
                  pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()),
                  pa.array([r.tobytes() for r in registers], pa.binary()),
                  pa.array([v.tolist() if s else [] for v, s in zip(band, sizes)], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "cls", "registers", "bands"])
+                names=["doc_id", "txt", "n_shingles", "key", "cls", "registers", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", _txt().alias("txt")).mapInArrow(run, _SKETCH)
 
 
 def _registers(column) -> np.ndarray:
@@ -110,7 +115,8 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([shingles(t).tobytes() for t in strings(b, "text")], pa.binary())],
                                              names=["cls", "set"])
 
-    return texts.join(needed, "cls", "left_semi").select("cls", "text").mapInArrow(run, "cls long, set binary")
+    once = texts.join(needed, "cls", "left_semi").select("cls", "text").dropDuplicates(["cls"])  # copies of a row
+    return once.mapInArrow(run, "cls long, set binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -226,20 +232,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Documents are linked when 100 * shared shingles >= percent * all their
     shingles (words split at ASCII white space, A-Z lower-cased, whole texts).
-    ``component_id`` is the least doc_id reachable over links, and the
-    document that bears it is ``kept``.  Null texts and texts without words
-    have no shingles, are linked with nothing and are kept.  Repeated rows
-    are returned each; a null doc_id is its own component unless linked to
-    another.  Other columns are ignored; an empty table gives no rows.
+    ``component_id`` is the least doc_id reachable over links.  One text of
+    each component is ``kept``: of the rows that bear that id the one of the
+    least class and text hash, and with it its copies (rows of equal doc_id
+    and text).  Null texts and texts without words have no shingles, are
+    linked with nothing and are kept.  Repeated rows are returned each; a
+    null doc_id, or a repeated one with another text, is its own component
+    unless linked to another.  Other columns are ignored; an empty table
+    gives no rows.
     """
+    return _marked(docs, percent).drop("txt")
+
+
+def _marked(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` with the text hash of every row."""
     all_rows = keep(sketched(docs), "sketches")
     known = all_rows.filter("cls is not null")
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "txt")).alias("first")
+    classes = known.groupBy("cls").agg(first).select("cls", F.col("first.doc_id").alias("first_doc"), F.col("first.txt").alias("first_txt"))
     classes = keep(classes, "classes")
     # One row per class: the document of least id (equal sets have equal sketches).
-    one = (known.join(classes, (known.cls == classes.cls) & known.doc_id.eqNullSafe(classes.first_doc)).select(known["*"])
-           .dropDuplicates(["cls"]))
-    sketches = keep(one.select("cls", "doc_id", F.col("n_shingles").alias("n"), "registers", "bands"), "class-sketches")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("txt") == F.col("first_txt"))
+    one = known.join(classes, (known.cls == classes.cls) & is_first).select(known["*"]).dropDuplicates(["cls"])
+    sketches = keep(one.select("cls", "doc_id", "txt", F.col("n_shingles").alias("n"), "registers", "bands"), "class-sketches")
     banded = sketches.select("cls", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = keep(banded.join(sizes, "bucket"), "bucket-members")
@@ -248,9 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                .agg(F.max(F.struct("central", F.col("cls").alias("centre"))).getField("centre").alias("centre")))
     members = keep(members.drop("size").join(centres, "bucket"), "bucket-stars")
 
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    place = sketches.select("cls", "doc_id")
-    texts = whole.join(place, whole.doc_id.eqNullSafe(place.doc_id)).select("cls", "text")
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _txt().alias("txt"))
+    place = sketches.select("cls", "doc_id", "txt")
+    texts = whole.join(place, whole.doc_id.eqNullSafe(place.doc_id) & (whole.txt == place.txt)).select("cls", "text")
     star = keep(_likely(_ordered(members, "cls", "centre"), sketches, percent), "likely-pairs")
     links = keep(_verified(star, texts, percent), "links")
     roots = keep(components(links), "roots")
@@ -258,15 +273,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():
         roots = keep(components(links.unionByName(more)), "all-roots")
 
-    linked = classes.join(roots, classes.cls == roots.node).groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    component = roots.join(linked, "root").select(F.col("node").alias("cls"), "component_id")
-    final = classes.join(component, "cls", "left").select("cls", F.coalesce("component_id", "first_doc").alias("component_id"))
-    out = all_rows.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
-    component_id = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    least = F.min(F.struct(F.col("first_doc").isNull().alias("no_id"), "first_doc", "cls")).alias("least")
+    linked = classes.join(roots, classes.cls == roots.node).groupBy("root").agg(least)
+    component = roots.join(linked, "root").select(F.col("node").alias("cls"), F.col("least.first_doc").alias("component_id"),
+                                                  F.col("least.cls").alias("best_cls"))
+    final = (classes.join(component, "cls", "left")
+             .withColumn("component_id", F.coalesce("component_id", "first_doc"))
+             .withColumn("has_kept", F.coalesce(F.col("best_cls") == F.col("cls"), F.lit(True))).drop("best_cls"))
+    out = all_rows.select("doc_id", "txt", "n_shingles", "cls").join(final, "cls", "left")
+    return out.select("doc_id", "txt", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                      (F.col("cls").isNull() | F.col("has_kept") & is_first).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, all columns; repeated rows of it become one."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent).filter("kept").select(F.col("doc_id").alias("_kept_doc")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_doc")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, all columns; its copies become one, but rows without id and words all stay."""
+    kept = (_marked(docs.select("doc_id", "text"), percent).filter("kept and (doc_id is not null or n_shingles > 0)")
+            .select(F.col("doc_id").alias("_kept_doc"), F.col("txt").alias("_kept_txt")).distinct())
+    marked = docs.withColumn("_txt", _txt())
+    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_doc")) & (F.col("_txt") == F.col("_kept_txt")), "left_semi")
+    bare = docs.filter(F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), " \t\n\r\v\f", "") == ""))
+    return found.dropDuplicates(["doc_id", "_txt"]).drop("_txt").unionByName(bare)

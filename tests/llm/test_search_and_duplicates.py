@@ -113,6 +113,24 @@ def test_near_duplicates(spark, monkeypatch):
     assert op5_near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_document(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
+    near = texts[0] + " more"  # 36 of 37 shingles
+    rows = [(None, t) for t in texts[:8]] + [(None, near), (None, texts[1]), (None, None), (None, None), (None, " \n")]
+    rows += [(7, t) for t in texts[8:]] + [(7, texts[8]), (7, texts[8] + " more"), (3, texts[9] + " more"), (4, None), (4, None), (4, " ")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = op5_near_duplicates.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    out = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(out) == 12 + 3 + 2 and {t for _, t in out} >= set(texts[1:8]) | {texts[10], texts[11]}
+    assert sum(t in (texts[0], near) for _, t in out) == sum(t in (texts[8], texts[8] + " more") for _, t in out) == 1
+    assert (3, texts[9] + " more") in out and sorted(str(t) for d, t in out if d == 4) == [" ", "None"]
+    marks = op5_near_duplicates.near_duplicates(docs).collect()
+    assert len(marks) == len(rows) and {r.component_id for r in marks if r.doc_id == 3} == {3}
+    of = {t: r for r in marks for t in [0] if r.doc_id == 7 and r.component_id == 3}
+    assert of and not any(r.kept for r in of.values())
+
+
 def test_pipeline_equals_plain_steps(spark, sf):
     """Rows of the pipeline against brute force over the same texts, stage by stage."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
