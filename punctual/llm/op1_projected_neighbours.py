@@ -25,6 +25,9 @@ NEIGHBOURS = 10
 DIRECTIONS = 8
 # Probability with which a neighbour nearer than the k-th found must have been listed before the search stops.
 CONFIDENCE = 0.95
+# Rounding allowed to a projected squared distance, as a share of the query's squared norms: products of one row
+# and of many differ in the last bits.
+ROUNDING = 1e-9
 LEAF_ROWS = 32
 STEP_LEAVES = 16
 MOST_CELLS = 256
@@ -51,6 +54,11 @@ def chi_square_quantile(p: float, degrees: int) -> float:
     return hi
 
 
+def reach(stop: float, radius: float, query: np.ndarray, projected: np.ndarray) -> float:
+    """Largest projected squared distance at which a row within ``radius`` of ``query`` is looked for."""
+    return stop * radius * radius + ROUNDING * float(query @ query + projected @ projected) if radius < np.inf else np.inf
+
+
 class Cells:
     """Upper levels of the k-d tree: splits and, per cell, the box that holds all its rows."""
 
@@ -125,11 +133,11 @@ class Tree:
         leaves = np.argsort(gaps, kind="stable")
         near, who = np.empty(0), np.empty(0, np.int64)
         at, size = 0, STEP_LEAVES
-        while at < len(leaves) and gaps[leaves[at]] <= stop * radius * radius:
+        while at < len(leaves) and gaps[leaves[at]] <= reach(stop, radius, query, projected):
             some = leaves[at:at + size]
             rows = np.concatenate([np.arange(self.start[i], self.end[i]) for i in some])
             gap = ((self.points[rows] - projected) ** 2).sum(1)
-            rows = self.order[rows[gap <= stop * radius * radius]]
+            rows = self.order[rows[gap <= reach(stop, radius, query, projected)]]
             rows = rows[ids[rows] != query_id]
             difference = vectors[rows] - query
             near = np.concatenate([near, np.sqrt(np.einsum("ij,ij->i", difference, difference))])
@@ -193,7 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, directi
                 others = known[known_ids != q] - points[i]
                 d = np.sqrt(np.einsum("ij,ij->i", others, others))
                 radius = float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else np.inf
-                for c in np.flatnonzero(cells.gaps(low[i]) <= (stop * radius * radius if radius < np.inf else np.inf)):
+                for c in np.flatnonzero(cells.gaps(low[i]) <= reach(stop, radius, points[i], low[i])):
                     at += [i] * parts[c]
                     block += [int(c) << 32 | p for p in range(parts[c])]
                     radii += [radius] * parts[c]

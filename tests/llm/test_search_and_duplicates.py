@@ -41,6 +41,21 @@ def test_neighbours(spark):
     assert op1_projected_neighbours.nearest(df.filter("vec_id in (0, 1, 2)"), df.filter("vec_id = 0")).count() == 2
 
 
+def test_copies_are_found_despite_rounding(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 48)).astype(np.float32)
+    x[:80] = x[0]
+    projected = x.astype(float) @ rng.normal(size=(48, 8))
+    for nudged in (np.nextafter(projected[0], np.inf), np.nextafter(projected[0], -np.inf)):  # last bits
+        tree = op1_projected_neighbours.Tree(projected)
+        near, who = tree.search(x.astype(float), np.arange(240), x[0].astype(float), 0, nudged, 0.0, 10, 13.0)
+        assert near.tolist() == [0.0] * 10 and who.tolist() == list(range(1, 11))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for q in (0, 40):
+        got = op1_projected_neighbours.nearest(df, df.filter(f"vec_id = {q}"), block_rows=40).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in range(11) if i != q][:10]
+
+
 def test_top_products(spark):
     df, rows = vectors(spark)
     good = [(i, v) for i, v, _ in rows if i is not None and v and len(v) == 8 and None not in v and all(map(math.isfinite, v))]
