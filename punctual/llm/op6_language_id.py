@@ -31,7 +31,7 @@ STRETCH = (3, 20)
 SEQUENCE = 64
 # Bound on the memo of a Python worker.
 MEMO_WORDS = 200_000
-# Texts below this mean marginal of their best language count as of no known language.
+# Texts whose words have a best marginal below this on average count as of no known language.
 LEAST_SCORE = 0.4
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -130,21 +130,23 @@ class Labeller:
             return score, count
         return crf.marginals(score, first, self.model.transition, self.model.start)[0], count
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, its mean marginal, and the mean over the words of each word's best marginal, in whatever language."""
         p, count = self.words(texts)
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         some = np.flatnonzero(count)
         if len(some):
             at = (np.cumsum(count) - count)[some]
             mean = np.add.reduceat(p, at, axis=0) / count[some][:, None]
-            for i, m in zip(some.tolist(), mean):
-                out[i] = (self.model.labels[int(m.argmax())], float(min(1.0, max(0.0, m.max()))))
+            sure = np.add.reduceat(p.max(1), at) / count[some]
+            for i, m, c in zip(some.tolist(), mean, sure.tolist()):
+                out[i] = (self.model.labels[int(m.argmax())], float(min(1.0, max(0.0, m.max()))), c)
         return out
 
 
-def _predicted(key: str, model: crf.Model | None, texts: list[str]) -> list[tuple[str, float]]:
+def _predicted(key: str, model: crf.Model | None, texts: list[str]) -> list[tuple[str, float, float]]:
     if model is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
+        return [(UNKNOWN, 0.0, 0.0)] * len(texts)
     return held(("labeller", key), lambda: Labeller(model)).predict(texts)
 
 
@@ -177,9 +179,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without the rows whose language stays unknown (no letters, or a score below ``least``).
+    """``docs`` without the rows whose language stays unknown (no letters, or words unsure on average).
 
-    All columns stay; a null ``lang`` is filled with the prediction.  With no
+    A word is as sure as its best marginal, so a text that switches between
+    known languages stays however evenly they share it; ``least`` bounds the
+    mean over its words.  All columns stay; a null ``lang`` is filled with the prediction.  With no
     labelled row to learn from only texts without letters go.
     """
     model = fit(docs)
@@ -195,8 +199,8 @@ def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 continue
             found = _predicted(key, shared.value, texts)
             i = b.schema.get_field_index("lang")
-            lang = pa.array([old or new for old, (new, _) in zip(b.column(i).to_pylist(), found)], pa.string())
+            lang = pa.array([old or new for old, (new, *_) in zip(b.column(i).to_pylist(), found)], pa.string())
             b = pa.RecordBatch.from_arrays([lang if k == i else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
-            yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in found], pa.bool_()))
+            yield b.filter(pa.array([n != UNKNOWN and sure >= least for n, _, sure in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -175,6 +175,18 @@ def test_code_switched_words_are_labelled(spark, sf):
     assert count[0] == 24 and names[:9].count("de") >= 8 and names[-9:].count("en") >= 8
 
 
+def test_evenly_switched_text_is_of_known_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    of = {r.lang: r.text.split()[:12] for r in docs.collect() if r.lang}
+    assert len(of) >= 3
+    text = " ".join(w for lang in sorted(of) for w in of[lang])
+    table = docs.union(spark.createDataFrame([(100_000, text, None), (100_001, "12 ... 34", None)], docs.schema))
+    model = op6_language_id.fit(table)
+    label, score, sure = op6_language_id.Labeller(model).predict([text])[0]
+    assert label in of and score < op6_language_id.LEAST_SCORE < 0.8 < sure
+    assert [r.doc_id for r in op6_language_id.known_language(table).filter("doc_id >= 100000").collect()] == [100_000]
+
+
 @pytest.mark.parametrize("degrees", [2, 8])
 def test_chi_square(degrees):
     from punctual.llm.op1_projected_neighbours import chi_square, chi_square_quantile
