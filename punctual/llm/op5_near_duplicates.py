@@ -23,9 +23,8 @@ from punctual.llm.graph import components
 
 WORDS = 5
 PERCENT = 85
-# A pair at the threshold shares no band with probability (1 - 0.85**5)**25 < 1e-6.
-BAND = 5
-BANDS = 25
+# Greatest probability with which a pair at the threshold may share no band.
+MISSED = 1e-6
 # Deviations of the estimate that a pair may lie below the threshold and still be verified.
 SLACK = 4.5
 BLOCK = 1024
@@ -50,8 +49,21 @@ def _txt() -> Column:
     return F.xxhash64("text", F.col("text").isNull())
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """Registers of a band, and bands: the widest ones that miss a pair at the threshold with probability below MISSED.
+
+    85 percent: 25 of 5 (4.3e-7); 80: 32 of 4 (4.7e-8); bands of one register if none are wide enough (below 11 percent).
+    """
+    for width in range(setsketch.REGISTERS, 1, -1):
+        bands = setsketch.REGISTERS // width
+        if (1 - (percent / 100) ** width) ** bands < MISSED:
+            return width, bands
+    return 1, setsketch.REGISTERS
+
+
+def sketched(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Set size, class key, registers and band values of every document."""
+    width, bands = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
@@ -63,10 +75,10 @@ def sketched(docs: DataFrame) -> DataFrame:
             if len(rows):
                 owner = np.repeat(np.arange(len(rows)), sizes[rows])
                 registers[rows] = setsketch.sketches(np.concatenate([sets[i] for i in rows]), owner, len(rows))
-            band = np.full((k, BANDS), 1, np.uint64)
-            for i in range(BAND):
-                band = setsketch.mixed(band * _MULTIPLIERS[0] + registers[:, i:i + BAND * BANDS:BAND].astype(np.uint64) + np.uint64(1))
-            band = setsketch.mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLIERS[1]).view(np.int64)
+            band = np.full((k, bands), 1, np.uint64)
+            for i in range(width):
+                band = setsketch.mixed(band * _MULTIPLIERS[0] + registers[:, i:width * bands:width].astype(np.uint64) + np.uint64(1))
+            band = setsketch.mixed(band + np.arange(1, bands + 1, dtype=np.uint64) * _MULTIPLIERS[1]).view(np.int64)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("txt"), pa.array(sizes.astype(np.int64)), pa.array([x and x.hex() for x in keys], pa.string()),
@@ -246,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _marked(docs: DataFrame, percent: int) -> DataFrame:
     """``near_duplicates`` with the text hash of every row."""
-    all_rows = keep(sketched(docs), "sketches")
+    all_rows = keep(sketched(docs, percent), "sketches")
     known = all_rows.filter("cls is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "txt")).alias("first")
     classes = known.groupBy("cls").agg(first).select("cls", F.col("first.doc_id").alias("first_doc"), F.col("first.txt").alias("first_txt"))

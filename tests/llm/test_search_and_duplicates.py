@@ -128,6 +128,15 @@ def test_near_duplicates(spark, monkeypatch):
     assert op5_near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_bands_miss_few_pairs_at_any_threshold(spark):
+    assert op5_near_duplicates.banding(85) == (5, 25) and op5_near_duplicates.banding(80) == (4, 32)
+    for percent in range(11, 100):
+        width, bands = op5_near_duplicates.banding(percent)
+        assert width * bands <= setsketch.REGISTERS and (1 - (percent / 100) ** width) ** bands < 1e-6
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    assert [len(set(op5_near_duplicates.sketched(docs, p).first().bands)) for p in (85, 80)] == [25, 32]
+
+
 def test_null_and_repeated_ids_lose_no_document(spark):
     texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
     near = texts[0] + " more"  # 36 of 37 shingles
