@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import (op1_projected_neighbours, op2_secrets, op3_sharding, op4_packing, op5_near_duplicates, op6_language_id,
-                          op7_pivot_search, op8_token_files, op9_html, op10_transducer_bpe)
+                          op7_pivot_search, op8_token_files, op9_html, op10_transducer_bpe, op11_ranked_search, op12_pii,
+                          op13_source_audit)
 from punctual.llm.common import documents
 from punctual.sources.tables import read_table
 
@@ -87,3 +88,62 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_transducer_bpe")
 def transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_transducer_bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+RANKED_SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+     x AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+     total AS (SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(sum(n) AS BIGINT) AS n_words FROM x),
+     q AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+     o AS (SELECT doc_id, n, unnest(w) AS term FROM x),
+     p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM o SEMI JOIN q USING (term) GROUP BY ALL),
+     t AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+           FROM p, total GROUP BY term),
+     s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // n_words)))) AS BIGINT) AS score
+           FROM q JOIN p USING (term) JOIN t USING (term), total GROUP BY item_id, doc_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+@query("op11_ranked_search", RANKED_SEARCH_SQL)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_ranked_search.search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+@query("op12_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_pii.personal_data(documents(spark, sf_dir))
+
+
+SOURCE_AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+     kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+     c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+     v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+     g AS (SELECT d.lang, d.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) d
+           LEFT JOIN c USING (lang, source) GROUP BY ALL),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.v) AS p,
+                  1 + 1000000000 * (k.n + 2) // (v.total + 2 * v.v) AS q
+           FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               WHERE a.lang NOT IN (SELECT lang FROM v)),
+     terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+     a AS (SELECT * FROM pairs UNION ALL SELECT * FROM every UNION ALL SELECT * FROM terms),
+     r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM a)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_audit", SOURCE_AUDIT_SQL)
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_source_audit.divergence(read_table(spark, sf_dir, "documents", ["lang", "source", "text"]))
