@@ -15,21 +15,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.labels import LATE, ON_TIME
+from punctual.operators import trees as T
 from punctual.operators.aggregates import balanced_weights, class_balance
 from punctual.operators.encode import EncodingSpec, feature_names, fit_encoder
 from punctual.session import shared_path
 
-MAX_TREE_DEPTH = 30  # Spark's limit stands in for an unbounded depth
-MAX_BINS = 64  # candidate thresholds per numeric column (Spark's trees split at quantile bins)
-
 # Reference hyper-parameter grids (fixed values).
 GRIDS = {
     "Logistic Regression": {"C": [0.1, 1.0, 10.0]},
@@ -41,9 +38,20 @@ GRIDS = {
 }
 
 
+class TreePipeline:
+    """A fitted encoder and its trees, used like a ``PipelineModel``."""
+
+    def __init__(self, encoder: PipelineModel, trees: T.TreeModel):
+        self.encoder, self.trees = encoder, trees
+        self.stages = [*encoder.stages, trees]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.trees.transform(self.encoder.transform(df))
+
+
 @dataclass
 class TrainedModel:
-    model: PipelineModel
+    model: PipelineModel | TreePipeline
     spec: EncodingSpec
     names: list[str]
     kind: str
@@ -54,16 +62,10 @@ class TrainedModel:
         return self.model.stages[-1]
 
 
-def _depth(d):
-    return MAX_TREE_DEPTH if d is None else int(d)
-
-
 def make_estimator(kind: str, params: dict | None = None, n_train: float | None = None,
                    weight_col: str | None = None, label: str = "label", seed: int = 42):
-    """Estimator by name; unknown names fall back to plain LR.
-    ``params`` may hold ``max_bins`` for the tree learners."""
+    """Logistic regression; unknown names fall back to its plain form (trees: see ``trees.fit``)."""
     p = dict(params or {})
-    max_bins = int(p.get("max_bins", MAX_BINS))
     common = {"featuresCol": "features", "labelCol": label}
     if weight_col:
         common["weightCol"] = weight_col
@@ -72,20 +74,6 @@ def make_estimator(kind: str, params: dict | None = None, n_train: float | None
         reg = 1.0 / (c * n_train) if n_train else 0.0
         return LogisticRegression(maxIter=int(p.get("max_iter", 1000)), regParam=reg, elasticNetParam=0.0,
                                   standardization=False, fitIntercept=True, tol=1e-4, **common)
-    if kind in ("Decision Tree Classifier", "tree"):
-        return DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 10)), seed=seed, maxBins=max_bins, **common)
-    if kind == "Random Forest Classifier":
-        return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
-                                      minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
-                                      seed=seed, maxBins=max_bins, **common)
-    if kind == "Gradient Boosting Classifier":
-        return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                             maxDepth=_depth(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **common)
-    if kind in ("Boosted Trees", "xgboost"):
-        return GBTClassifier(maxIter=int(p.get("n_estimators", 400)), stepSize=float(p.get("learning_rate", 0.05)),
-                             maxDepth=_depth(p.get("max_depth", 6)),
-                             subsamplingRate=float(p.get("subsample", 0.8)),
-                             featureSubsetStrategy=str(p.get("colsample", 0.8)), seed=seed, maxBins=max_bins, **common)
     return LogisticRegression(maxIter=100, regParam=1.0 / n_train if n_train else 0.0, standardization=False,
                               **common)
 
@@ -97,8 +85,8 @@ def positive_weights(df: DataFrame, label: str = "label", weight_col: str = "wei
 
 
 def train(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dict | None = None,
-          balanced: str | None = None, label: str = "label", seed: int = 42) -> TrainedModel:
-    """Fit encoder + classifier on ``train_df``.
+          balanced: str | None = None, label: str = "label", seed: int = 42, key: str | None = None) -> TrainedModel:
+    """Fit encoder + classifier on ``train_df``; ``key`` names the rows for the samples of tree ensembles.
 
     ``balanced``: None, 'balanced' (n/(k*n_c) weights, A8) or 'positive'
     (neg/pos on Late rows).  LR's penalty follows C via 1/(C * sum of weights).
@@ -109,10 +97,14 @@ def train(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dict | Non
         df, weight_col = balanced_weights(df, label, "weight"), "weight"
     elif balanced == "positive":
         df, weight_col = positive_weights(df, label, "weight"), "weight"
-    cols = list(dict.fromkeys([*spec.categorical, *spec.numeric, label] + ([weight_col] if weight_col else [])))
+    key = key or ("trip_key" if "trip_key" in df.columns else None)
+    cols = list(dict.fromkeys([*spec.categorical, *spec.numeric, label] + ([weight_col] if weight_col else []) + ([key] if key else [])))
     df = df.select(*cols).persist()  # read by the vocabulary, scaler and model passes
     try:
         enc = fit_encoder(df, spec)
+        if kind in T.KINDS:
+            trees = T.fit(enc.transform(df), enc, spec, kind, dict(params or {}), label, weight_col, key, seed)
+            return TrainedModel(TreePipeline(enc, trees), spec, feature_names(enc, spec), kind, dict(params or {}))
         encoded = enc.transform(df).select(spec.features_col, label, *([weight_col] if weight_col else [])).persist()
         try:
             sum_w = encoded.agg(F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).first()[0]
@@ -126,6 +118,24 @@ def train(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dict | Non
                         dict(params or {}))
 
 
+def first_histogram(df: DataFrame, spec: EncodingSpec, label: str = "label") -> DataFrame:
+    """(column_name, level, n_rows, gradient, hessian): the sums that the first split of the boosted trees is chosen from."""
+    from punctual.operators.encode import category_levels
+    spark = df.sparkSession
+    weighted = positive_weights(df, label).select(*spec.categorical, label, "weight")
+    enc = fit_encoder(weighted, spec)
+    encoded = enc.transform(weighted)
+    blocks = T.Blocks(encoded, T.layout_of(encoded, enc, spec), label, "weight", None, None)
+    try:
+        index, sums = blocks.root_sums(T.rule_of("Boosted Trees", {"subsample": 1.0}, 1))
+    finally:
+        blocks.close()
+    levels = category_levels(enc)
+    names = [(c, v) for c in spec.categorical for v in [*levels[c], None]]  # one slot per column for unseen levels
+    rows = [(*names[i], int(n), round(float(g), 6), round(float(h), 6)) for i, (g, h, n) in zip(index, sums)]
+    return spark.createDataFrame(rows, "column_name string, level string, n_rows long, gradient double, hessian double")
+
+
 def grid(kind: str, grid_values: dict | None = None) -> list[dict]:
     g = grid_values if grid_values is not None else GRIDS.get(kind, {})
     keys = list(g)
@@ -139,6 +149,13 @@ def grid_search(train_df: DataFrame, spec: EncodingSpec, kind: str, grid_values:
     best candidate on all of ``train_df``."""
     candidates = grid(kind, grid_values)
     folds = [r[0] for r in train_df.select(fold_col).distinct().orderBy(fold_col).collect()]  # k fold numbers
+    if kind in T.KINDS:
+        # A level or value that only held-out rows have is in no sum, so one encoding serves all folds.
+        enc = fit_encoder(train_df, spec)
+        metrics = T.search(enc.transform(train_df), enc, spec, kind, candidates, folds, fold_col, label,
+                           "trip_key" if "trip_key" in train_df.columns else None, seed)
+        best = candidates[max(range(len(metrics)), key=lambda i: metrics[i])]
+        return train(train_df, spec, kind, best, None, label, seed), best, metrics
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     totals = [0.0] * len(candidates)
     for fold in folds:
@@ -238,10 +255,20 @@ def training_record(spark: SparkSession, scored: DataFrame, best_params: dict |
 # --- persistence and prediction log (IO7, IO9) ----------------------------------------
 
 def save_model(model: TrainedModel, path: str) -> None:
-    model.model.write().overwrite().save(path)
+    if isinstance(model.model, TreePipeline):
+        model.model.encoder.write().overwrite().save(f"{path}/encoder")
+        model.model.trees.save(SparkSession.active(), f"{path}/trees")
+    else:
+        model.model.write().overwrite().save(path)
 
 
 def load_model(path: str, spec: EncodingSpec, kind: str = "") -> TrainedModel:
+    spark = SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/trees")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        enc = PipelineModel.load(f"{path}/encoder")
+        trees = T.TreeModel.load(spark, f"{path}/trees")
+        return TrainedModel(TreePipeline(enc, trees), spec, feature_names(enc, spec), kind or trees.kind)
     pm = PipelineModel.load(path)
     enc = PipelineModel(stages=pm.stages[:-1])
     return TrainedModel(pm, spec, feature_names(enc, spec), kind)

@@ -184,6 +184,38 @@ def engine_grid_search_tree(spark, sf):
     return M.training_record(spark, r["scored"], r["best"])
 
 
+@register("engine_grid_search_forest", ["M9", "M13", "V7"])
+def engine_grid_search_forest(spark, sf):
+    """UI engine: random forest over its twelve candidates, 5-fold CV by accuracy, metrics record."""
+    r = EX.run_engine(trips(spark, sf), "Random Forest Classifier")
+    return M.training_record(spark, r["scored"], r["best"])
+
+
+@register("engine_grid_search_boosting", ["M10", "M13", "V7"])
+def engine_grid_search_boosting(spark, sf):
+    """UI engine: gradient boosting over its eight candidates, 5-fold CV by accuracy, metrics record."""
+    r = EX.run_engine(trips(spark, sf), "Gradient Boosting Classifier")
+    return M.training_record(spark, r["scored"], r["best"])
+
+
+_FIRST = EX.MAIN_SPEC.categorical
+
+
+@register("boosted_first_histogram", ["M11", "M1"], with_trips(
+    f"""SELECT column_name, level, CAST(count(*) AS BIGINT) AS n_rows, round(sum((0.5e0 - label) * w), {R6}) AS gradient,
+  round(sum(0.25e0 * w), {R6}) AS hessian
+FROM (SELECT *, CASE WHEN label = 1 THEN (SELECT 1e0 * count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1) FROM l) ELSE 1e0 END AS w
+      FROM l) t, (VALUES """ + ", ".join(f"('{c}')" for c in _FIRST) + """) c(column_name),
+  LATERAL (SELECT CASE column_name """ + " ".join(f"WHEN '{c}' THEN t.{c}" for c in _FIRST) + """ END AS level) v
+GROUP BY column_name, level""", l="SELECT " + ", ".join(
+        f"coalesce({c}, '{'NoEvent' if c == 'special_event' else 'Unknown'}') AS {c}" for c in _FIRST)
+    + ", CASE WHEN delay_minutes > 5 THEN 1 ELSE 0 END AS label FROM trips WHERE delay_minutes IS NOT NULL"))
+def boosted_first_histogram(spark, sf):
+    """Gradient and hessian sums of every level at the first split of the boosted trees, before any sample."""
+    t = prep.clean_categories(prep.label_trips(trips(spark, sf).where("delay_minutes IS NOT NULL")), _FIRST)
+    return M.first_histogram(t, EX.EncodingSpec(_FIRST, []))
+
+
 @register("engine_unknown_model", ["M12", "V7"])
 def engine_unknown_model(spark, sf):
     """UI engine with a model name it does not know: plain logistic regression, nothing to search."""

@@ -58,10 +58,10 @@ IMPL = {
     "M1": "operators/encode.encoding_stages", "M2": "operators/encode.fit_encoder(drop_first)",
     "M3": "operators/encode.fit_scaler, scaler_stage", "M4": "operators/encode.fit_scaler(with_mean=False)",
     "M5": "operators/encode.encoding_stages", "M6": "operators/encode.feature_names, category_levels",
-    "M7": "operators/models.make_estimator (LR)", "M8": "operators/models.make_estimator (tree)",
-    "M9": "operators/models.make_estimator (forest)", "M10": "operators/models.make_estimator (GBT)",
-    "M11": "operators/models.make_estimator (Boosted Trees), positive_weights",
-    "M12": "operators/models.make_estimator (fallback)", "M13": "operators/models.grid_search",
+    "M7": "operators/models.make_estimator (LR)", "M8": "operators/trees.fit (gini)",
+    "M9": "operators/trees.fit (bootstrap, features per node)", "M10": "operators/trees.fit (residual)",
+    "M11": "operators/trees.fit (newton), models.positive_weights",
+    "M12": "operators/models.make_estimator (fallback)", "M13": "operators/models.grid_search, trees.search",
     "M14": "operators/baseline.majority_baseline", "M15": "operators/models.score, with_status",
     "M16": "operators/models.score", "M17": "operators/models.importance_table",
     "M18": "operators/models.coefficient_table", "M19": "operators/explain.load_ensemble, explain, shap_summary",
