@@ -198,12 +198,12 @@ def engine_grid_search_boosting(spark, sf):
     return M.training_record(spark, r["scored"], r["best"])
 
 
-_FIRST = EX.MAIN_SPEC.categorical
+_FIRST = ["route", "day_of_week", "traffic_condition", "weather", "special_event"]
 
 
 @register("boosted_first_histogram", ["M11", "M1"], with_trips(
-    f"""SELECT column_name, level, CAST(count(*) AS BIGINT) AS n_rows, round(sum((0.5e0 - label) * w), {R6}) AS gradient,
-  round(sum(0.25e0 * w), {R6}) AS hessian
+    f"""SELECT column_name, level, CAST(count(*) AS BIGINT) AS n_rows, round(sum(round((0.5e0 - label) * w * 1048576) / 1048576), {R6}) AS gradient,
+  round(sum(round(0.25e0 * w * 1048576) / 1048576), {R6}) AS hessian
 FROM (SELECT *, CASE WHEN label = 1 THEN (SELECT 1e0 * count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1) FROM l) ELSE 1e0 END AS w
       FROM l) t, (VALUES """ + ", ".join(f"('{c}')" for c in _FIRST) + """) c(column_name),
   LATERAL (SELECT CASE column_name """ + " ".join(f"WHEN '{c}' THEN t.{c}" for c in _FIRST) + """ END AS level) v
@@ -211,7 +211,8 @@ GROUP BY column_name, level""", l="SELECT " + ", ".join(
         f"coalesce({c}, '{'NoEvent' if c == 'special_event' else 'Unknown'}') AS {c}" for c in _FIRST)
     + ", CASE WHEN delay_minutes > 5 THEN 1 ELSE 0 END AS label FROM trips WHERE delay_minutes IS NOT NULL"))
 def boosted_first_histogram(spark, sf):
-    """Gradient and hessian sums of every level at the first split of the boosted trees, before any sample."""
+    """Gradient and hessian sums of every level at the first split of the boosted trees, before any sample
+    (each row's share is rounded to a multiple of 2^-20, so that sums are exact)."""
     t = prep.clean_categories(prep.label_trips(trips(spark, sf).where("delay_minutes IS NOT NULL")), _FIRST)
     return M.first_histogram(t, EX.EncodingSpec(_FIRST, []))
 
