@@ -27,6 +27,9 @@ from punctual.operators.aggregates import balanced_weights, class_balance
 from punctual.operators.encode import EncodingSpec, feature_names, fit_encoder
 from punctual.session import shared_path
 
+# Changes whenever fits of the same parameters, or their files, change.
+FIT_FORMAT = 2
+
 # Reference hyper-parameter grids (fixed values).
 GRIDS = {
     "Logistic Regression": {"C": [0.1, 1.0, 10.0]},
@@ -282,7 +285,7 @@ def train_shared(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dic
     if snapshot is None:
         return train(train_df, spec, kind, params, balanced, label, seed)
     spark = train_df.sparkSession
-    name = hashlib.md5(repr((snapshot, spec, kind, sorted((params or {}).items()), balanced, label, seed))
+    name = hashlib.md5(repr((FIT_FORMAT, snapshot, spec, kind, sorted((params or {}).items()), balanced, label, seed))
                        .encode()).hexdigest()
     done = shared_path(spark, f"fitted-{name}")
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
