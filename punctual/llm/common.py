@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,9 @@ from punctual.session import shared_path
 from punctual.sources.tables import read_table
 
 # Text held by one step of a Python worker; a single longer text is still taken whole.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
+# The same where distinct pieces of text are encoded, many at a time.
+TOKEN_STEP_CHARS = 4_000_000
 
 
 _HELD: dict = {}
@@ -25,11 +30,34 @@ def held(key, make: Callable):
     Another key drops it first, so that the stages of a pipeline do not add up in a worker's memory.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _trim() -> None:
+    """Ask the C library, where it can, to give freed memory back."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def no_cycles():
+    """Let the collector of cycles rest while something runs that makes many objects but no cycles."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name on the storage that ``spark.checkpoint.dir`` names."""
     return shared_path(spark, f"llm/{name}-{uuid.uuid4().hex}")

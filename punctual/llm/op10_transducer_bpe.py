@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import lexicon
-from punctual.llm.common import held, keep, steps, strings
+from punctual.llm.common import TOKEN_STEP_CHARS, held, keep, steps, strings
 from punctual.llm.tokens import _PLAIN, Merger, PieceEncoder, pieces
 
 # Words of the lexicon at most, and distinct words that one task counts at once.
@@ -54,7 +54,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = FrequentWords()
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", TOKEN_STEP_CHARS):
             for text in strings(b, "text"):
                 seen.add(pieces(text))
         words = Counter()
@@ -146,7 +146,7 @@ def _encoded(docs: DataFrame, tokenizer_file: str, lexicon_words: int, schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = transducer_encoder(tokenizer_file, SparkFiles.get(name))
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", TOKEN_STEP_CHARS):
             rows = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(strings(b, "text"))):
                 ids = np.frombuffer(raw, "<u2").tolist()

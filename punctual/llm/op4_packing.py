@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import keep, steps, strings
+from punctual.llm.common import TOKEN_STEP_CHARS, keep, steps, strings
 from punctual.llm.tokens import piece_encoder
 from punctual.operators.ranking import uniform_rank
 
@@ -30,7 +30,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(tokenizer_file)
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", TOKEN_STEP_CHARS):
             rows: list[list] = [[], [], [], [], []]
             for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(strings(b, "text"))):
                 ids = np.frombuffer(raw + end, "<u2").astype("<u4")

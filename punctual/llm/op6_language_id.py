@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import crf
-from punctual.llm.common import held, steps, strings
+from punctual.llm.common import held, no_cycles, steps, strings
 from punctual.llm.tokens import Memo
 
 UNKNOWN = "und"
@@ -132,7 +132,8 @@ class Labeller:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """Language, its mean marginal, and the mean over the words of each word's best marginal, in whatever language."""
-        p, count = self.words(texts)
+        with no_cycles():
+            p, count = self.words(texts)
         out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         some = np.flatnonzero(count)
         if len(some):
