@@ -12,68 +12,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import rans
-from punctual.llm.common import fresh_path, keep, run_totals, steps, strings
+from punctual.llm.common import TOKEN_STEP_CHARS, fresh_path, keep, run_totals, steps, strings
 from punctual.llm.tokens import piece_encoder
 
 END_ID = 2
-_RAW = "part int, block int, before long, n long, doc_ids binary, lengths binary, ids binary"
+_IDS = "doc_id long, place long, ids binary, counts binary"
 _FILE = "part int, block int, before long, n long, payload binary"
 _READ = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
+VOCABULARY = 1 << 16
 
 
-def _raw_schema() -> pa.Schema:
-    return pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64()),
-                      ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
-
-
-def tokenized_blocks(docs: DataFrame, tokenizer_file: str, block_tokens: int) -> DataFrame:
-    """Documents in ascending doc_id order (equal ids: by text) as blocks of ids, one row per block."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text"))
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
+def encoded(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Ids of every document, encoded where its text is read; each task adds a row of its ids' frequencies."""
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, schema = piece_encoder(tokenizer_file), TaskContext.get().partitionId(), _raw_schema()
-        block = before = held = 0
-        doc_ids, lengths, ids = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal block, before, held
-            row = [[part], [block], [before], [held], [np.array(doc_ids, "<i8").tobytes()],
-                   [np.array(lengths, "<u4").tobytes()], [b"".join(ids)]]
-            block, before, held = block + 1, before + held, 0
-            doc_ids.clear(), lengths.clear(), ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
-
-        for b in steps(batches, "text"):
-            for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(strings(b, "text"))):
-                doc_ids.append(-1 if doc is None else doc)
-                ids.append(raw + end)
-                lengths.append(len(raw) // 2 + 1)
-                held += lengths[-1]
-                if held >= block_tokens:
-                    yield flush()
-        if doc_ids:
-            yield flush()
+        encoder = piece_encoder(tokenizer_file)
+        total = np.zeros(VOCABULARY, "<i8")
+        for b in steps(batches, "text", TOKEN_STEP_CHARS):
+            ids = [raw + end for raw in encoder.encode(strings(b, "text"))]
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=VOCABULARY)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(ids, pa.binary()),
+                                              pa.nulls(len(ids), pa.binary())], names=["doc_id", "place", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([total.tobytes()], pa.binary())], names=["doc_id", "place", "ids", "counts"])
 
-    return ordered.mapInArrow(run, _RAW)
+    return docs.select("doc_id", F.xxhash64("text").alias("place"), "text").mapInArrow(run, _IDS)
 
 
-def token_counts(blocks: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in all blocks (at most ``size`` rows reach the driver)."""
+def token_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents (one row per id reaches the driver)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(VOCABULARY, np.int64)
         for b in batches:
-            for raw in b.column("ids"):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=size)
+            for raw in b.column("counts"):
+                total += np.frombuffer(raw.as_buffer(), "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    counts = np.zeros(size, np.int64)
-    for r in blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(VOCABULARY, np.int64)
+    rows = ids.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id int, n long")
+    for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -82,28 +62,49 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, block_tokens: int = r
     """Encode whole texts and write the token file (blocks and their shared table) to ``path``.
 
     Defined cases: null text is empty and yields the end id alone; a null
-    doc_id sorts first and is written as -1; repeated rows are written each;
+    doc_id sorts first and stays null; repeated rows are written each;
     an empty table gives a file without blocks; other columns are ignored.
     A document is never split between blocks, so a very long text makes a
     larger block.
     """
     spark = docs.sparkSession
-    blocks = keep(tokenized_blocks(docs, tokenizer_file, block_tokens), "token-blocks")
-    freq = rans.Table.scaled(token_counts(blocks, 1 << 16))
+    ids = keep(encoded(docs, tokenizer_file), "token-ids")
+    freq = rans.Table.scaled(token_counts(ids))
     shared = spark.sparkContext.broadcast(freq)  # 2**16 numbers
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ids are shuffled, not texts; equal doc_ids go by their text.
+    ordered = (ids.where(F.col("ids").isNotNull()).select("doc_id", "place", "ids").repartitionByRange(n, "doc_id", "place")
+               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rans.Table(shared.value)
+        table, part = rans.Table(shared.value), TaskContext.get().partitionId()
+        block = before = held = 0
+        doc_ids, lengths, raw = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal block, before, held
+            known = np.array([d is not None for d in doc_ids])
+            payload = rans.encode_block(np.frombuffer(b"".join(raw), "<u2"), np.array([d or 0 for d in doc_ids], "<i8"),
+                                        np.array(lengths, "<u4"), table, known)
+            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                   pa.array([held], pa.int64()), pa.array([payload], pa.binary())]
+            block, before, held = block + 1, before + held, 0
+            doc_ids.clear(), lengths.clear(), raw.clear()
+            return pa.RecordBatch.from_arrays(row, names=["part", "block", "before", "n", "payload"])
+
         for b in batches:
-            for i in range(b.num_rows):
-                cell = lambda c: b.column(c)[i].as_buffer()
-                payload = rans.encode_block(np.frombuffer(cell("ids"), "<u2"), np.frombuffer(cell("doc_ids"), "<i8"),
-                                            np.frombuffer(cell("lengths"), "<u4"), table)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(c).slice(i, 1) for c in ("part", "block", "before", "n")] + [pa.array([payload], pa.binary())],
-                    names=["part", "block", "before", "n", "payload"])
+            for doc, one in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+                one = one.as_buffer()
+                doc_ids.append(doc)
+                raw.append(one)
+                lengths.append(one.size // 2)
+                held += lengths[-1]
+                if held >= block_tokens:
+                    yield flush()
+        if doc_ids:
+            yield flush()
 
-    blocks.mapInArrow(run, _FILE).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, _FILE).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()),)], "frequencies binary").write.parquet(f"{path}/table")
     return path
 
@@ -125,7 +126,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - block.lengths
                 crc = [zlib.crc32(raw[4 * a:4 * e]) for a, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(crc), part, np.int32)), pa.array(block.documents),
+                    [pa.array(np.full(len(crc), part, np.int32)), pa.array(block.documents, mask=~block.known),
                      pa.array(starts + bases.value[part] + before), pa.array(block.lengths.astype(np.int64)),
                      pa.array(crc, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 

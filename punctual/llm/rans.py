@@ -17,13 +17,13 @@ import zlib
 import numpy as np
 
 PRECISION = 20
-LANES = 512
-CHECKPOINT_STEPS = 256
+LANES = 2048
+CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 19
 
 LOW = np.uint64(1 << 31)
 _P, _MASK, _W = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1), np.uint64(32)
-MAGIC = b"PRNS"
+MAGIC = b"PRN2"
 HEADER = struct.Struct("<4sHHIIIII")  # magic, lanes, precision, tokens, documents, checkpoints, words, checksum
 
 
@@ -61,7 +61,8 @@ class Table:
         return f.astype(np.uint32)
 
 
-def encode_block(ids: np.ndarray, documents: np.ndarray, lengths: np.ndarray, table: Table) -> bytes:
+def encode_block(ids: np.ndarray, documents: np.ndarray, lengths: np.ndarray, table: Table, known: np.ndarray | None = None) -> bytes:
+    """One block; ``known`` is false where a document has no id (its entry of ``documents`` is then 0)."""
     n = len(ids)
     steps = -(-n // LANES)
     pad = int(table.freq.argmax())
@@ -83,7 +84,7 @@ def encode_block(ids: np.ndarray, documents: np.ndarray, lengths: np.ndarray, ta
     marks.reverse()
     at = np.concatenate([[0], np.cumsum([len(w) for w in words])]) if words else np.zeros(1, np.int64)
     body = b"".join([
-        np.asarray(documents, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(),
+        np.asarray(documents, "<i8").tobytes(), (np.ones(len(lengths), bool) if known is None else known).tobytes(), np.asarray(lengths, "<u4").tobytes(),
         np.array([at[t] for t, _ in marks], "<u4").tobytes(), b"".join(s.astype("<u8").tobytes() for _, s in marks),
         b"".join(w.tobytes() for w in words)])
     return HEADER.pack(MAGIC, LANES, PRECISION, n, len(lengths), len(marks), int(at[-1]), zlib.crc32(body)) + body
@@ -108,7 +109,7 @@ class Block:
             at += a.nbytes
             return a
 
-        self.documents, self.lengths = take("<i8", docs), take("<u4", docs)
+        self.documents, self.known, self.lengths = take("<i8", docs), take("?", docs), take("<u4", docs)
         self.positions, self.states = take("<u4", marks), take("<u8", marks * self.lanes).reshape(marks, self.lanes)
         self.words = take("<u4", words)
 
