@@ -24,24 +24,29 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class or id that hint at something beside the article.
+# Words in class or id that hint at something beside the article, and endings that such a word may be written together with.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
                         "disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup "
                         "promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
                         "toolbar widget".split())
-# Those of them for what others wrote or for other pages.
-OTHERS_WORDS = frozenset("comment comments disqus related replies reply respond".split())
+# Those of them that also stand for plain text: a block so named is one only if it holds links.
+LINK_WORDS = frozenset("share sharing social widget".split())
+ENDINGS = re.compile("(area|bar|block|box|container|form|item|items|links|list|section|thread|wrap|wrapper)\\Z")
 # A name made of the first only, or with one of the second, is no such hint.
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 STATE_WORDS = frozenset("disabled enabled has no with without".split())
-# A hinted block with less unlinked text is left out; the text of a longer one counts by this factor.
-LITTLE_CHARS, DOUBT = 250, 0.25
+# The text of a hinted block counts by this factor, and for the best container only if there is no other text.
+DOUBT = 0.25
+# A hinted block with this share of all unlinked text wraps the page.
+NEARLY_ALL = 0.9
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 KEPT_ROOTS = frozenset(("article", "main", "body", "html"))
 # A start tag of the first closes an open one of the second, up to the nearest of the third.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
           "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
           "option": (("option",), ("select",))}
+# A paragraph or heading is not closed from inside one of these.
+SCOPES = frozenset("table td th li blockquote div article section main body button".split())
 # Points of a sibling that is kept for them, and its least share of the best container's.
 SIBLING_POINTS, SIBLING_SHARE = 10.0, 0.2
 # Any other is kept if less than this share is links and it is longer than so many characters, or unlinked and a sentence.
@@ -52,16 +57,20 @@ SPLIT_WORDS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "parent", "children", "points", "main", "hint", "others", "off", "linked", "plain", "mains", "doubt")
-
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, main: bool = False, hint: bool = False, others: bool = False):
-        self.tag, self.parent, self.aside, self.main, self.hint, self.others = tag, parent, aside, main, hint, others
+    __slots__ = ("tag", "aside", "parent", "children", "points", "main", "hint", "off", "linked", "plain", "mains", "links", "weak", "doubt", "open", "headed")
+
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, main: bool = False, hint: bool = False):
+        self.tag, self.parent, self.aside, self.main, self.hint = tag, parent, aside, main, hint
+        # The outermost paragraph, and paragraph or heading, that a new block here would close.
+        inherit = parent is not None and tag not in SCOPES
+        self.open = parent.open if inherit and parent.open is not None else self if tag == "p" else None
+        self.headed = parent.headed if inherit and parent.headed is not None else self if tag == "p" or tag in HEADINGS else None
         self.children: list[Node | str] = []
         self.points = 0.0
         self.off = aside or parent is not None and parent.off
         self.linked = tag == "a" or parent is not None and parent.linked
-        self.plain = self.mains = 0  # unlinked characters; elements marked as main text that hold any
-        self.doubt = False
+        self.plain = self.mains = self.links = 0  # unlinked characters; elements marked as main text that hold any; links
+        self.doubt = self.weak = False
 
 
 def hints(names: str) -> set[str]:
@@ -70,8 +79,9 @@ def hints(names: str) -> set[str]:
     for name in names.lower().split():
         words = set(SPLIT_WORDS.split(name)) - {""}
         if words.isdisjoint(STATE_WORDS):
-            found = words & ASIDE_WORDS
-            out |= found - {"header"} if words & CONTENT_WORDS else found  # an entry-header heads the entry
+            found = (words | {ENDINGS.sub("", w) for w in words}) & ASIDE_WORDS
+            # An entry-header heads the entry, a story-widget is part of the story.
+            out |= found - {"header", "widget"} if words & CONTENT_WORDS else found
         if words and words <= CONTENT_WORDS:
             return set()
     return out
@@ -100,8 +110,9 @@ class Tree(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag not in INLINE:
-            self._close(("p", *HEADINGS) if tag in HEADINGS or tag in KEPT_ROOTS else ("p",),
-                        ("table", "td", "th", "li", "blockquote", "div", "article", "section", "main", "body", "button"))
+            left = self.at.headed if tag in HEADINGS or tag in KEPT_ROOTS else self.at.open
+            if left is not None:
+                self.at = left.parent
         a = {k: v or "" for k, v in attrs}
         names = f"{a.get('class', '')} {a.get('id', '')}"
         main = tag in ("article", "main") or a.get("role") == "main"
@@ -113,7 +124,8 @@ class Tree(HTMLParser):
         hint = bool(found) or tag == "form"
         if tag == "header" and not hint and inside_main(self.at) is None:
             hint = CONTENT_WORDS.isdisjoint(SPLIT_WORDS.split(names.lower()))
-        node = Node(tag, self.at, aside, main, hint, not found.isdisjoint(OTHERS_WORDS))
+        node = Node(tag, self.at, aside, main, hint)
+        node.weak = bool(found) and found <= LINK_WORDS
         self.nodes.append(node)
         self.at.children.append(node)
         if tag not in VOID:
@@ -140,34 +152,33 @@ class Tree(HTMLParser):
                 self.at.plain += len(" ".join(data.split()))
 
     def settle(self) -> None:
-        """Leave out the hinted blocks with little text, doubt the longer ones.
+        """Doubt the hinted blocks, but not one with the main text of the page.
 
-        Neither holds for a block with the main text of the page: the elements
-        so marked, or if there are none half of all unlinked text.
+        That is the elements so marked, or if there are none nearly all unlinked text.
         """
         for n in reversed(self.nodes):
             n.mains += n.main and not n.off and n.plain > 0
             if n.parent is not None:
                 n.parent.plain += n.plain
                 n.parent.mains += n.mains
+                n.parent.links += n.links + (n.tag == "a")
         mains, plain = self.root.mains, self.root.plain
         for n in self.nodes:
-            if n.hint and not n.off and not (n.mains == mains if mains else 2 * n.plain >= plain):
-                if n.plain < LITTLE_CHARS:
-                    n.aside = True
-                else:
-                    n.doubt = True
+            if n.hint and not n.off and not (n.weak and not n.links) and not (n.mains == mains if mains else n.plain >= NEARLY_ALL * plain):
+                n.doubt = True
+            else:
+                n.hint = False
             n.doubt |= n.parent is not None and n.parent.doubt
 
-    def leave_others(self, best: Node) -> None:
-        """Leave out comments and the like, unless ``best`` lies in them."""
+    def leave_hinted(self, best: Node) -> None:
+        """Leave out every hinted block, however long, that ``best`` does not lie in."""
         above = set()
         node: Node | None = best
         while node is not None:
             above.add(id(node))
             node = node.parent
         for n in self.nodes:
-            if n.others and n.doubt and id(n) not in above:
+            if n.hint and id(n) not in above:
                 n.aside = True
 
 
@@ -314,12 +325,13 @@ def extract(html: str | None) -> str:
     tree.feed(CUT_TAG.sub("", html))  # a page may break off inside a tag
     tree.close()
     tree.settle()
-    containers = score(runs(tree.root))
+    blocks = runs(tree.root)
+    containers = score([r for r in blocks if not r.node.doubt]) or score(blocks)
     if not containers:
         return ""
     best = max(containers, key=lambda n: n.points)
     best = inside_main(best) or best
-    tree.leave_others(best)
+    tree.leave_hinted(best)
     return "\n\n".join(r.text for r in (runs(best) if best.parent is None else with_siblings(best)))
 
 
@@ -327,8 +339,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null html is empty and gives empty text; null ids or urls, repeated rows
-    and broken markup are kept as they are; other columns are ignored; an
-    empty table gives no rows.
+    and broken markup are kept as they are; pages of any length and depth are
+    read whole; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
