@@ -186,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, directi
     dealt = keep(rows.mapInArrow(deal, "vec_id long, embedding array<float>, cell int"), "dealt-vectors")
     sizes = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most MOST_CELLS
     parts = [-(-sizes.get(c, 0) // block_rows) for c in range(len(cells.boxes))]
-    asked = one_dimension(usable(queries), "embedding").filter(F.size("embedding") == width)
+    asked = usable(queries).filter(F.size("embedding") == width)
     query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
