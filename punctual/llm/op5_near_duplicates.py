@@ -298,10 +298,17 @@ def _marked(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, all columns; its copies become one, but rows without id and words all stay."""
+    """One document of each component, all columns; its copies become one, but rows without id and words all stay.
+
+    Null and empty texts are linked with nothing and stay, once per doc_id;
+    columns of any name stay; an empty table stays empty.
+    """
+    txt = "txt"
+    while any(c.lower() in (txt, f"kept_{txt}", f"kept_doc_{txt}") for c in docs.columns):
+        txt += "_"
     kept = (_marked(docs.select("doc_id", "text"), percent).filter("kept and (doc_id is not null or n_shingles > 0)")
-            .select(F.col("doc_id").alias("_kept_doc"), F.col("txt").alias("_kept_txt")).distinct())
-    marked = docs.withColumn("_txt", _txt())
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_doc")) & (F.col("_txt") == F.col("_kept_txt")), "left_semi")
+            .select(F.col("doc_id").alias(f"kept_doc_{txt}"), F.col("txt").alias(f"kept_{txt}")).distinct())
+    marked = docs.withColumn(txt, _txt())
+    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(f"kept_doc_{txt}")) & (F.col(txt) == F.col(f"kept_{txt}")), "left_semi")
     bare = docs.filter(F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), " \t\n\r\v\f", "") == ""))
-    return found.dropDuplicates(["doc_id", "_txt"]).drop("_txt").unionByName(bare)
+    return found.dropDuplicates(["doc_id", txt]).drop(txt).unionByName(bare)
