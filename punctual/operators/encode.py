@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,25 @@ def category_sizes(model: PipelineModel, spec: EncodingSpec) -> list[int]:
     return [len(levels[c]) for c in spec.categorical]
 
 
+def dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, level, slot): the levels of each column in order, numbered on the executors (M1, M6).
+
+    Levels are range-partitioned; a level's slot is its place in its partition
+    plus the number of levels of its column in the partitions before.
+    """
+    pair = lambda c: F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level"))
+    levels = df.select(F.explode(F.array(*[pair(c) for c in cols])).alias("x")).select("x.*").where("level IS NOT NULL").distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that the partition numbers hold for both uses.
+    placed = levels.repartitionByRange(parts, "column_name", "level").withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.partitionBy("column_name").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("column_name", "_p").agg(F.count(F.lit(1)).alias("_n"))
+               .select("column_name", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("column_name", "_p").orderBy("level"))
+    return (placed.withColumn("_place", place).join(offsets, ["column_name", "_p"])
+            .select("column_name", "level", (F.col("_before") + F.col("_place") - 1).cast("int").alias("slot")))
+
+
 def feature_names(model: PipelineModel, spec: EncodingSpec) -> list[str]:
     """Names of the vector slots: '<col>_<level>' then numeric names."""
     levels = category_levels(model)

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctual.operators.joins import broadcast_if_small
+
 # ``prefix_sums`` takes at least MIN_BUCKETS quantile buckets, and more when a
 # bucket would hold above BUCKET_ROWS rows; ``uniform_rank`` takes uniform
 # buckets (rows per window partition ~ N/(groups * 2^15)).
@@ -103,6 +105,23 @@ def uniform_rank(
              .drop("_b", "_off"))
 
 
+def smallest_of_group(df: DataFrame, group: str, u_col: str, tie: str, quotas: DataFrame, n_buckets: int = UNIFORM_BUCKETS) -> DataFrame:
+    """(group, _u_last, _tie_last): per group the last of its ``_quota`` smallest rows by (u, tie); none where the quota is 0.
+
+    Rows are only counted, per bucket of ``u``; those of the one bucket in
+    which a group's quota ends are ranked.  ``quotas`` has a row per group.
+    """
+    b = df.select(group, u_col, tie, F.least(F.floor(F.col(u_col) * n_buckets), F.lit(n_buckets - 1)).cast("int").alias("_b"))
+    sizes = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    ends = (sizes.withColumn("_upto", upto).join(broadcast_if_small(quotas), group)
+            .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
+            .select(group, "_b", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need")))
+    last = Window.partitionBy(group).orderBy(u_col, tie)
+    return (b.join(broadcast_if_small(ends), [group, "_b"]).withColumn("_r", F.row_number().over(last)).where(F.col("_r") == F.col("_need"))
+            .select(group, F.col(u_col).alias("_u_last"), F.col(tie).alias("_tie_last")))
+
+
 def exact_medians(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> dict[str, float | None]:
     """Exact medians (mean of the two middle values for even n), NULL/NaN ignored.
 

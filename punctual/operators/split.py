@@ -18,7 +18,7 @@ from punctual.functions.features import group_key
 from punctual.functions.hashing import uniform
 from punctual.operators.joins import broadcast_if_small
 from punctual.operators.prep import GROUP_KEY_COLUMNS, pick_existing
-from punctual.operators.ranking import prefix_sums, uniform_rank
+from punctual.operators.ranking import prefix_sums, smallest_of_group, uniform_rank
 
 TRAIN, TEST = "train", "test"
 
@@ -42,13 +42,12 @@ def _class_quotas(df: DataFrame, label: str, test_size: float) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "trip_key", test_size: float = 0.2,
                      seed: int = 42, split_col: str = "split") -> DataFrame:
-    """D3: exact per-class test quotas; rows chosen by hash order within class."""
+    """D3: exact per-class test quotas; rows chosen by hash order within class (rows without label train)."""
     u = df.withColumn("_u", uniform(F.col(key), f"split{seed}"))
-    ranked = uniform_rank(u, [label], "_u", [key], "_rank")
-    quotas = _class_quotas(df, label, test_size)
-    out = ranked.join(F.broadcast(quotas), label)  # one row per class (bounded label domain)
-    return out.withColumn(split_col, F.when(F.col("_rank") < F.col("_quota"), F.lit(TEST)).otherwise(F.lit(TRAIN))) \
-              .drop("_u", "_rank", "_quota")
+    last = smallest_of_group(u, label, "_u", key, _class_quotas(df, label, test_size))
+    out = u.join(broadcast_if_small(last), label, "left")  # one row per class; no row of ``df`` moves
+    chosen = (F.col("_u") < F.col("_u_last")) | (F.col("_u") == F.col("_u_last")) & (F.col(key) <= F.col("_tie_last"))
+    return out.withColumn(split_col, F.when(chosen, F.lit(TEST)).otherwise(F.lit(TRAIN))).drop("_u", "_u_last", "_tie_last")
 
 
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "trip_key", k: int = 5, seed: int = 42,

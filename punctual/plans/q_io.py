@@ -76,6 +76,21 @@ def timetable_from_rendered_pages(spark, sf):
     return extract_timetable(pages).orderBy("route", "trip_no")
 
 
+@register("timetable_from_marked_up_pages", ["IO5", "X10", "X11", "X12", "X13"], with_trips("""
+SELECT DISTINCT destination || ' to RAK' AS route, 'To' AS direction, trip_no, departure_time, route AS destination FROM trips"""))
+def timetable_from_marked_up_pages(spark, sf):
+    """One page per destination whose trips stand in lines full of inline tags, with script, comments and open tags around."""
+    t = trips(spark, sf).select("route", "trip_no", "departure_time", "destination").distinct()
+    tag = lambda name, c: F.concat(F.lit(f"<{name} class='x'>"), c, F.lit(f"</{name}>"))
+    line = F.concat(F.lit("<div><br>"), tag("b", F.col("trip_no").cast("string")), F.lit(" <!-- <p>9 9.99 No</p> -->"),
+                    tag("i", F.replace("departure_time", F.lit(":"), F.lit("."))), F.lit(" <em><u>"), tag("span", F.col("route")), F.lit("</u></em></div>"))
+    body = t.groupBy("destination").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("body"))
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><script>if (a<b) '<p>8 8:88 No</p>'</script><h2>"), "destination",
+                    F.lit(" to RAK</h2><h4><a href='#'>Trip</a> Details</h4>"), "body", F.lit("<h6>Contact<table><tr><td>7<td>7:77<td>No"))
+    pages = body.select(F.xxhash64("destination").alias("page_id"), F.lit("local:").alias("url"), html.alias("html"))
+    return extract_timetable(pages)
+
+
 @register("timetable_from_pages", ["IO5"])
 def timetable_from_pages(spark, sf):
     """Timetable sections found in the crawled pages table (none expected)."""

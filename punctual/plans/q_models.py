@@ -53,10 +53,7 @@ _VOCAB_COLS = ["route", "traffic_condition", "weather", "special_event", "destin
         f"ELSE {c} END AS level FROM trips)" for c in _VOCAB_COLS)))
 def category_vocabulary(spark, sf):
     """Alphabetical one-hot vocabulary (slot per level) learned on cleaned trips."""
-    t = prep.clean_categories(trips(spark, sf), _VOCAB_COLS)
-    enc = E.fit_encoder(t, E.EncodingSpec(_VOCAB_COLS, []))
-    rows = [(c, lv, i) for c, levels in E.category_levels(enc).items() for i, lv in enumerate(levels)]
-    return spark.createDataFrame(rows, "column_name string, level string, slot int")
+    return E.dictionary(prep.clean_categories(trips(spark, sf), _VOCAB_COLS), _VOCAB_COLS)
 
 
 _SLOT_COLS = ["route", "traffic_condition", "weather", "special_event"]

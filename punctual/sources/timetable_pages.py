@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from punctual.functions.cleaning import strip_ws
 from punctual.functions.features import clean_destination, digits_to_int, direction_from_route, is_digits, normalise_time_text
 
+# Every repeated group is possessive: Java then loops instead of recursing, and nothing is tried twice, so a
+# page takes linear time whatever is left open in it.  An open comment, script or table reaches to the page's end.
 # Left out before anything else: comments and elements without visible text.
-HIDDEN_PATTERN = r"(?is)<!--.*?-->|<(script|style|svg|head)(\s[^>]*)?>.*?</\1\s*>"
+HIDDEN_PATTERN = (r"(?is)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|<(script|style)(?:\s[^>]*+)?>(?:[^<]++|<(?!/\1\s*+>))*+(?:</\1\s*+>|\z)|"
+                  r"<(svg|head)(?:\s[^>]*+)?>(?:[^<]++|<(?!/?\2[\s>]))*+</\2\s*+>")
 # A heading, a table, or a run of text with inline tags up to the next block tag (which has no text itself).
 BLOCK_TAGS = r"(?:h[1-6]|table|p|li|ul|ol|dl|dt|dd|div|section|article|main|header|footer|nav|aside|body|html|br|hr|pre|blockquote)"
-BLOCK_PATTERN = (r"(?is)(<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>|<table(?:\s[^>]*)?>.*?</table\s*>|"
-                 r"[^<]+(?:<(?!/?" + BLOCK_TAGS + r"(?:[\s/>]))(?!/span\s*>\s*<span)[^>]*>[^<]*)*|<[^>]*>)")
-ROW_PATTERN = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"
-CELL_PATTERN = r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>"
+BLOCK_PATTERN = (r"(?is)(<h[1-6](?:\s[^<>]*+)?>(?:[^<]++|<(?!/?h[1-6][\s>]))*+(?:</h[1-6]\s*+>|(?=<)|\z)|"
+                 r"<table(?:\s[^<>]*+)?>(?:[^<]++|<(?!/table\s*+>))*+(?:</table\s*+>|\z)|"
+                 r"[^<]++(?:<(?!/?" + BLOCK_TAGS + r"(?:[\s/>]))(?!/span\s*+>\s*+<span)[^<>]*+>[^<]*+)*+|<[^<>]*+>)")
+ROW_PATTERN = r"(?is)<tr(?:\s[^<>]*+)?>((?:[^<]++|<(?!/tr\s*+>))*+)(?:</tr\s*+>|\z)"
+CELL_PATTERN = r"(?is)<td(?:\s[^<>]*+)?>((?:[^<]++|<(?!/td\s*+>))*+)(?:</td\s*+>|\z)"
 SECTION_TITLE = "trip details"
 SECTION_WORD = "details"  # of a title whose words may stand apart in the markup
 
@@ -37,7 +41,7 @@ ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), (
 def tag_text(c) -> F.Column:
     """Visible text of an HTML fragment: tags removed, the common
     entities decoded, whitespace collapsed and stripped."""
-    t = F.regexp_replace(c, r"<[^>]+>", " ")
+    t = F.regexp_replace(c, r"<[^<>]++>", " ")
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
     return strip_ws(F.regexp_replace(t, r"\s+", " "))

@@ -58,3 +58,15 @@ def test_extraction_moves_no_html(spark):
     pages = spark.createDataFrame(ORDINARY, "page_id long, url string, html string")
     plan = extract_timetable(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_pages_that_would_overflow_a_recursive_match(spark):
+    many = "<b>a</b> <i>b</i> " * 50_000
+    pages = [(1, "u", f"<h3>A to RAK</h3><h5>Trip Details</h5><p>1 08:00 {many}</p><p>2 09:00 B</p>"),
+             (2, "u", "<h3>B to RAK</h3><h5>Trip Details</h5><table>" + "<tr><td>3</td><td>10.00</td><td>C</td></tr>" * 20_000),
+             (3, "u", "<h3>C to RAK</h3><h5>Trip Details</h5><p>4 11:00 D</p>" + "<!-- " * 50_000),
+             (4, "u", "<h3>D to RAK</h3><h5>Trip Details</h5><p>5 12:00 E</p>" + "<h4><table" * 50_000),
+             (5, "u", "<h3>E to RAK</h3><h5>Trip Details</h5><p>6 13:00 F</p>" + "<" * 300_000)]
+    got = {(r.trip_no, r.departure_time, r.destination[:3]) for r in
+           extract_timetable(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {(1, "08:00", "a b"), (2, "09:00", "B"), (3, "10:00", "C"), (4, "11:00", "D"), (5, "12:00", "E"), (6, "13:00", "F")}
