@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.labels import LATE, ON_TIME
+from punctual.operators import logistic as L
 from punctual.operators import trees as T
 from punctual.operators.aggregates import balanced_weights, class_balance
 from punctual.operators.encode import EncodingSpec, feature_names, fit_encoder
@@ -159,6 +160,11 @@ def grid_search(train_df: DataFrame, spec: EncodingSpec, kind: str, grid_values:
                            "trip_key" if "trip_key" in train_df.columns else None, seed)
         best = candidates[max(range(len(metrics)), key=lambda i: metrics[i])]
         return train(train_df, spec, kind, best, None, label, seed), best, metrics
+    if kind == "Logistic Regression" and all(set(c) <= {"C"} for c in candidates):
+        enc = fit_encoder(train_df, spec)
+        metrics, _ = L.search(enc.transform(train_df), enc, spec, [float(c.get("C", 1.0)) for c in candidates], folds, fold_col, label)
+        best = candidates[max(range(len(metrics)), key=lambda i: metrics[i])]
+        return train(train_df, spec, kind, best, None, label, seed), best, metrics
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     totals = [0.0] * len(candidates)
     for fold in folds:
@@ -302,7 +308,28 @@ def train_shared(train_df: DataFrame, spec: EncodingSpec, kind: str, params: dic
     return model
 
 
-def log_predictions(scored: DataFrame, path: str) -> None:
-    """IO9: append (timestamp, prediction, confidence, inputs) to a table."""
-    (with_status(scored).withColumn("logged_at", F.current_timestamp())
-        .write.mode("append").parquet(path))
+def log_predictions(scored: DataFrame, path: str, batch: int | str | None = None) -> bool:
+    """IO9: add (timestamp, prediction, confidence, inputs) to a table as one batch.
+
+    The batch is written beside the table and published by one rename to
+    ``batch=<its name>``: readers see all of it or none, and a batch that is
+    logged again under its name (a retry) changes nothing.  Returns whether
+    it was published now.
+    """
+    spark = scored.sparkSession
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = to_path(path, f"batch={uuid.uuid4().hex if batch is None else batch}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    staged = to_path(path, f"_staged-{uuid.uuid4().hex}")  # readers pass over names that begin so
+    with_status(scored).withColumn("logged_at", F.current_timestamp()).write.parquet(staged.toString())
+    # Where another writer was first, the rename fails or lands inside its folder; either way ours goes.
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, True)
+        return False
+    inside = to_path(target, staged.getName())
+    if fs.exists(inside):
+        fs.delete(inside, True)
+        return False
+    return True

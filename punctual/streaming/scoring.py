@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from punctual.operators.models import TrainedModel, score, with_status
+from punctual.operators.models import TrainedModel, log_predictions, score, with_status
 from punctual.session import shared_path
 
 
@@ -38,3 +38,14 @@ def score_stream(model: TrainedModel, stream: DataFrame, sink_path: str, name: s
               .option("path", sink_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.queryName(name).start()
+
+
+def log_stream(model: TrainedModel, stream: DataFrame, log_path: str, name: str = "trip-log", keep: list[str] | None = None,
+               threshold: float = 0.5, available_now: bool = False) -> StreamingQuery:
+    """Add every micro-batch to the prediction log under its own number, so a batch that is run again is logged once."""
+    writer = (score(model, stream, threshold, keep=keep).writeStream
+              .foreachBatch(lambda batch, number: log_predictions(batch, log_path, number) and None)
+              .option("checkpointLocation", shared_path(
+                  stream.sparkSession, f"stream-ckpt-{name}-{hashlib.md5(log_path.encode()).hexdigest()[:12]}")))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.queryName(name).start()
