@@ -20,11 +20,13 @@ from functools import cached_property
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from punctual.llm.common import held, no_cycles
 
-# Bound on the memo of a Python worker, and on the length of what it holds: some 90 MB for each of two generations.
-MEMO_ENTRIES = 500_000
+# Bound on each memo of a Python worker, and on the length of what it holds.
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 # Longer words are merged by a heap, one at a time.
 LONGEST_IN_MATRIX = 64
@@ -33,7 +35,6 @@ NONE = np.uint32(0xFFFFFFFF)
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _LEADS = re.compile(r"(?=[ \n])")
 # Letters of Latin-1, then marks that no rule of either vocabulary treats by itself.
-_BARE = re.compile(" ?[A-Za-z]+")
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{}~]*)\Z")
 
 
@@ -61,10 +62,6 @@ class Memo:
         """Keys of which the value must be computed; the others are in ``now`` afterwards."""
         if len(self.now) + len(keys) > self.limit:
             self.older, self.now = self.now, {}
-        return self.unknown(keys)
-
-    def unknown(self, keys: set) -> list:
-        """As ``missing``, but nothing that is in ``now`` leaves it."""
         gone = keys.difference(self.now)
         older = self.older
         known = list(filter(older.__contains__, gone))
@@ -197,11 +194,7 @@ class PieceEncoder:
     def __init__(self, tokenizer_file: str):
         self.merger = Merger(tokenizer_file)
         self.lower = self.merger.lower
-        self.pieces = Memo()
-
-    @cached_property
-    def line_feed(self) -> bytes:
-        return self.plain_words(["\n"])[0]
+        self.words, self.pieces = Memo(), Memo()
 
     @cached_property
     def tokenizer(self):
@@ -224,34 +217,28 @@ class PieceEncoder:
         """Its space touches another space, so the cut may not stand (spaces count in this vocabulary)."""
         return not self.lower and (piece[-1:].isspace() or piece[:1] in (" ", "\n") and piece[1:2].isspace())
 
-    def _learn(self, new: list[str]) -> list[str]:
-        """Learn the ids of new pieces; returns the words that were learned for them.  A word without marks is a piece itself, so words and pieces share the memo."""
-        now, lower = self.pieces.now, self.lower
-        plain = list(filter(_BARE.fullmatch, new))
-        marked, others = [], []
-        for p in filterfalse(_BARE.fullmatch, new):
+    def _learn(self, new: list[str]) -> None:
+        now = self.pieces.now
+        plain, others = [], []
+        for p in new:
             m = _PLAIN.match(p)
             if m:
-                lead, w, tail = m.groups()
-                marked.append((p, lead == "\n" and not lower, w.lower() if lower else " " + w if lead == " " else w, tail))
+                lead, word, tail = m.groups()
+                if self.lower:
+                    plain.append((p, "", word.lower(), tail))
+                else:
+                    plain.append((p, lead if lead == "\n" else "", " " + word if lead == " " else word, tail))
             else:
                 others.append(p)
+        parts = {x for p in plain for x in p[1:]}
+        unknown = self.words.missing(parts)
+        word = self.words.now
+        word.update(zip(unknown, self.plain_words(unknown)))
+        for p, lead, w, tail in plain:
+            now[p] = word[lead] + word[w] + word[tail]
+        self.words.forget_long(unknown)
         for p in others:
             now[p] = None if self._loose(p) else self.odd_piece(p) if p else b""
-        words = list(map(str.lower, map(str.lstrip, plain))) if lower else plain
-        wanted = set(words)
-        for _, _, w, tail in marked:
-            wanted.add(w)
-            if tail:
-                wanted.add(tail)
-        unknown = self.pieces.unknown(wanted)
-        now.update(zip(unknown, self.plain_words(unknown)))
-        if lower:
-            now.update(zip(plain, map(now.__getitem__, words)))
-        for p, fed, w, tail in marked:
-            ids = now[w] + now[tail] if tail else now[w]
-            now[p] = self.line_feed + ids if fed else ids
-        return unknown
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""
@@ -259,19 +246,36 @@ class PieceEncoder:
             return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        seen = set().union(*cut)
-        new = self.pieces.missing(seen)
-        words = self._learn(new)
-        get = self.pieces.now.__getitem__
-        out = []
-        for text, c in zip(texts, cut):
-            try:
-                out.append(b"".join(map(get, c)))
-            except TypeError:  # a loose piece: cut only where it is safe
-                out.append(b"".join(map(self.odd_piece, _CUT.split(text))))
+        if not texts:
+            return []
+        if any("\0" in t for t in texts):
+            cut = pa.array([pieces(t) for t in texts], pa.list_(pa.string()))
+        else:
+            marked = pa.array(texts, pa.string())
+            for lead in (" ", "\n"):
+                marked = pc.replace_substring(marked, lead, "\0" + lead)
+            cut = pc.split_pattern(marked, "\0")
+        # Distinct pieces and, for every piece, which of them it is.
+        coded = cut.flatten().dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = self.pieces.missing(set(distinct))
+        self._learn(new)
+        found = list(map(self.pieces.now.__getitem__, distinct))
+        loose = np.array([ids is None for ids in found])
+        found = [ids or b"" for ids in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        first = np.cumsum(size) - size
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(found), "<u2")[np.repeat(first[which] - ends + sizes, sizes) + np.arange(ends[-1])]
+        begin = cut.offsets.to_numpy()
+        at = (2 * np.concatenate([[0], ends])[begin]).tolist()
+        raw = ids.tobytes()
+        out = [raw[a:z] for a, z in zip(at, at[1:])]
+        if loose.any():  # a loose piece: cut such texts only where it is safe
+            for i in np.flatnonzero(np.add.reduceat(loose[which], begin[:-1])).tolist():
+                out[i] = b"".join(map(self.odd_piece, _CUT.split(texts[i])))
         self.pieces.forget_long(new)
-        self.pieces.forget_long(words)
         return out
 
 
