@@ -30,15 +30,20 @@ def held(key, make: Callable):
     Another key drops it first, so that the stages of a pipeline do not add up in a worker's memory.
     """
     if key not in _HELD:
-        if _HELD:
-            _HELD.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            _trim()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release() -> None:
+    """Give the held object's memory back; called by tasks that need none, so that a pipeline's stages do not add up."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
 def _trim() -> None:
     """Ask the C library, where it can, to give freed memory back."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from punctual.llm.common import steps, strings
+from punctual.llm.common import release, steps, strings
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt")
@@ -120,6 +120,7 @@ def scan(docs: DataFrame, schema: str, row) -> DataFrame:
     fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in steps(batches, "text"):
             rows = [row(d, t, find(t)) for d, t in zip(b.column("doc_id").to_pylist(), strings(b, "text"))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f for f, _ in fields])
@@ -169,6 +170,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in steps(batches, "text"):
             i = b.schema.get_field_index("text")
             clean = pa.array([redact(t) for t in b.column(i).to_pylist()], pa.string())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import setsketch
-from punctual.llm.common import keep, steps, strings
+from punctual.llm.common import keep, release, steps, strings
 from punctual.llm.graph import components
 
 WORDS = 5
@@ -66,6 +66,7 @@ def sketched(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     width, bands = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in steps(batches, "text"):
             sets = [shingles(t) for t in strings(b, "text")]
             sizes = np.array([len(s) for s in sets])
@@ -103,6 +104,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     floor = least - SLACK * np.sqrt(least * (1 - least) / setsketch.REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             if b.num_rows:
                 j = setsketch.similarity(_registers(b.column("r_u")), _registers(b.column("r_v")),
@@ -123,6 +125,7 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """Full shingle sets of the classes in ``needed`` (cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([shingles(t).tobytes() for t in strings(b, "text")], pa.binary())],
                                              names=["cls", "set"])
@@ -135,6 +138,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity; sets are made only for classes in a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             good = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
                     for x, y in zip(b.column("s_u"), b.column("s_v"))]

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from punctual.llm.common import held, no_cycles
 
 # Bound on each memo of a Python worker, and on the length of what it holds.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 48
 # Longer words are merged by a heap, one at a time.
 LONGEST_IN_MATRIX = 64
