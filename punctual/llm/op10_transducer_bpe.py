@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import shutil
 import tempfile
@@ -98,9 +97,7 @@ class TransducerEncoder(PieceEncoder):
     def __init__(self, tokenizer_file: str, lexicon_folder: str):
         super().__init__(tokenizer_file)
         self.lexicon = lexicon.Lexicon(lexicon_folder)
-        with open(tokenizer_file, encoding="utf-8") as f:
-            added = {a["content"]: a["id"] for a in json.load(f)["added_tokens"]}
-        self.added = added
+        self.added = added = self.merger.added
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.text_of = {i: t for t, i in (self.merger.vocab | added).items()}
 

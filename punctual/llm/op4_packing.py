@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.common import TOKEN_STEP_CHARS, keep, steps, strings
-from punctual.llm.tokens import piece_encoder
+from punctual.llm.tokens import text_encoder
 from punctual.operators.ranking import uniform_rank
 
 CAPACITY = 4096
@@ -29,7 +29,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFr
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer_file)
+        encoder = text_encoder(tokenizer_file)
         for b in steps(batches, "text", TOKEN_STEP_CHARS):
             rows: list[list] = [[], [], [], [], []]
             for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(strings(b, "text"))):

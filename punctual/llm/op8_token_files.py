@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from punctual.llm import rans
 from punctual.llm.common import TOKEN_STEP_CHARS, fresh_path, keep, run_totals, steps, strings
-from punctual.llm.tokens import piece_encoder
+from punctual.llm.tokens import text_encoder
 
 END_ID = 2
 _IDS = "doc_id long, place long, ids binary, counts binary"
@@ -27,7 +27,7 @@ def encoded(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer_file)
+        encoder = text_encoder(tokenizer_file)
         total = np.zeros(VOCABULARY, "<i8")
         for b in steps(batches, "text", TOKEN_STEP_CHARS):
             ids = [raw + end for raw in encoder.encode(strings(b, "text"))]

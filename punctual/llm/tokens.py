@@ -1,17 +1,15 @@
 """Token ids of whole texts by the public tokenizer files.
 
-Both vocabularies split a text into words before they merge, and a single
-space or line feed between two non-space characters always ends a word.  So
-a text is cut there, every distinct piece is encoded once, and the ids of a
-text are the ids of its pieces: the ids of the whole text, at a fraction of
-the work.  Plain words are merged many at a time in numpy; any other piece
-goes to the ``tokenizers`` library, special token strings included (they
-hold no space, hence lie inside one piece).
+``TextEncoder`` takes texts as they come.  ``PieceEncoder`` (for operator 10)
+uses that both vocabularies split a text into words before they merge, and
+that a single space or line feed between two non-space characters always ends
+a word: a text is cut there and every distinct piece is encoded once.  Merging
+is done by ``tiktoken`` with the merge order of the file; what neither treats
+by itself goes to the ``tokenizers`` library.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 import re
@@ -22,16 +20,23 @@ from itertools import filterfalse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 
 from punctual.llm.common import held, no_cycles
 
 # Bound on each memo of a Python worker, and on the length of what it holds.
 MEMO_ENTRIES = 250_000
 MEMO_CHARS = 48
-# Longer words are merged by a heap, one at a time.
-LONGEST_IN_MATRIX = 64
-
-NONE = np.uint32(0xFFFFFFFF)
+# Word rule of the byte-level vocabulary, and of the other one on lower-case plain text (fixed values).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+MARKED = r"[^\x00]+\x00"
+# Runs of one kind of character beyond this length are left to the library.
+LONG_RUN = 100_000
+_RUN = re.compile(r"\s+|\S+")
+# A character beyond Latin-1 letters, digits, marks and plain white space, or what may be a special string.
+_STRANGE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+_END = re.compile(r"[ \n]|\Z")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _LEADS = re.compile(r"(?=[ \n])")
 # Letters of Latin-1, then marks that no rule of either vocabulary treats by itself.
@@ -52,6 +57,33 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
+def library(tokenizer_file: str):
+    """The ``tokenizers`` object of a file, without truncation and padding."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def library_ids(tokenizer, text: str) -> bytes:
+    return array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def odd_words(text: str) -> list[str]:
+    """``text`` in parts: plain, a word with something strange, plain, and so on (in time linear in its length)."""
+    parts, done = [], 0
+    for m in _STRANGE.finditer(text):
+        if m.start() >= done:
+            first = max(done, text.rfind(" ", done, m.start()) + 1, text.rfind("\n", done, m.start()) + 1)
+            parts.append(text[done:first])
+            done = _END.search(text, m.end()).start()
+            parts.append(text[first:done])
+    return [*parts, text[done:]]
+
+
 class Memo:
     """Bounded memo of two generations: when full, what was used lately stays at hand."""
 
@@ -75,7 +107,13 @@ class Memo:
 
 
 class Merger:
-    """Byte-pair merging of many words at once by the rules of a tokenizer file."""
+    """Byte-pair merging by the rules of a tokenizer file, done by ``tiktoken``.
+
+    Its merges go by the joined bytes of two tokens, those of the file by the
+    pair.  Both give the same ids where every token of the file comes out of
+    merging its own bytes, which ``tests/llm`` checks for both files.  The end
+    of a word, where the vocabulary has one, is a byte of its own, which merges first.
+    """
 
     def __init__(self, tokenizer_file: str):
         with open(tokenizer_file, encoding="utf-8") as f:
@@ -84,107 +122,92 @@ class Merger:
         self.file = tokenizer_file
         self.lower = spec["normalizer"] is not None
         self.vocab: dict[str, int] = model["vocab"]
+        self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.suffix: str = model["end_of_word_suffix"] or ""
         if max(self.vocab.values()) >= 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        letters = byte_letters()
-        self.byte_id = np.array([self.vocab[c] for c in letters], np.uint32)
-        self.last_id = np.array([self.vocab[c + self.suffix] for c in letters], np.uint32)
-        made = np.array([[self.vocab[a], self.vocab[b], self.vocab[a + b]] for a, b in model["merges"]], np.uint32)
-        key = made[:, 0] << np.uint32(16) | made[:, 1]
-        order = np.argsort(key, kind="stable")
-        self.keys, self.rank = key[order], order.astype(np.uint32)
-        self.made = made[:, 2]
-        self.pair_rank = {(int(a), int(b)): r for r, (a, b, _) in enumerate(made)}
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << np.uint32(16) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], NONE)
-
-    def _matrix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the rows of ``s`` (words of one length); returns ids and which are left."""
-        n, width = s.shape
-        alive = np.ones(n * width, bool)
-        if width == 1:
-            return s.ravel(), alive
-        rank = np.full((n, width), NONE, np.uint32)
-        rank[:, :-1] = self._ranks(s[:, :-1], s[:, 1:])
-        # One guard cell before and after everything makes neighbours always addressable.
-        sym = np.concatenate([s.ravel(), np.zeros(1, np.uint32)])
-        flat = np.concatenate([rank.ravel(), np.full(1, NONE, np.uint32)])
-        after = np.arange(1, n * width + 2)
-        before = np.arange(-1, n * width)
-        rows = np.arange(n)
-        while len(rows):
-            part = flat[:-1].reshape(n, width)[rows]
-            col = part.argmin(1)
-            best = part[np.arange(len(rows)), col]
-            going = best != NONE
-            rows, col, best = rows[going], col[going], best[going]
-            if not len(rows):
-                break
-            at = rows * width + col
-            gone = after[at]
-            sym[at] = self.made[best]
-            alive[gone] = False
-            nxt = after[gone]
-            after[at] = nxt
-            before[nxt] = at
-            flat[gone] = NONE
-            end = (rows + 1) * width
-            has = nxt < end
-            flat[at] = np.where(has, self._ranks(sym[at], sym[np.where(has, nxt, at)]), NONE)
-            prev = before[at]
-            has = prev >= rows * width
-            prev = prev[has]
-            flat[prev] = self._ranks(sym[prev], sym[at[has]])
-        return sym[:-1], alive
-
-    def _long(self, ids: list[int]) -> list[int]:
-        """One long word, by a heap of candidate pairs (leftmost of lowest rank first)."""
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair_rank.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.made[r]), -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (q := self.pair_rank.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
+
+    def _bpe(self, mark: bytes):
+        """The merger with ``mark`` for the end of a word, a byte that its input does not hold otherwise."""
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {}
+        for token, i in self.vocab.items():
+            if token not in self.added:
+                word = token.removesuffix(self.suffix)
+                ranks[bytes(map(byte_of.__getitem__, word)) + (mark if word != token else b"")] = i
+        return tiktoken.Encoding(self.file, pat_str=MARKED if self.suffix else SPLIT, mergeable_ranks=ranks,
+                                 special_tokens={})._core_bpe
+
+    @cached_property
+    def _by_word(self):
+        return self._bpe(b"\xff")
+
+    @cached_property
+    def _by_text(self):
+        return self._bpe(b"\0")
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian unsigned 16 bits) of each word, given as it comes out of the word split."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(raw)
-        by_length: dict[int, list[int]] = {}
-        for i, b in enumerate(raw):
-            by_length.setdefault(len(b), []).append(i)
-        for width, where in by_length.items():
-            if width == 0:
-                continue
-            joined = np.frombuffer(b"".join([raw[i] for i in where]), np.uint8).reshape(-1, width)
-            s = self.byte_id[joined]
-            s[:, -1] = self.last_id[joined[:, -1]]
-            if width > LONGEST_IN_MATRIX:
-                for i, ids in zip(where, s.tolist()):
-                    out[i] = array("H", self._long(ids)).tobytes()
-                continue
-            sym, alive = self._matrix(s)
-            ends = (2 * np.cumsum(alive.reshape(-1, width).sum(1))).tolist()
-            ids = sym[alive].astype("<u2").tobytes()
-            at = 0
-            for i, end in zip(where, ends):
-                out[i] = ids[at:end]
-                at = end
+        one, mark = self._by_word.encode_single_piece, b"\xff" if self.suffix else b""
+        return [array("H", one(w.encode() + mark)).tobytes() if w else b"" for w in words]
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without special strings; where words have ends, a zero must mark each (and nothing else)."""
+        return array("H", self._by_text.encode_ordinary(text)).tobytes()
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian unsigned 16-bit integers; remembers next to nothing.
+
+    A vocabulary without word ends goes through whole texts.  For one with word
+    ends, the words of a text's plain parts (Latin-1 letters, digits, marks) are
+    lowered and marked; words with other characters go to ``tokenizers``.
+    Special token strings take their ids.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        self.merger = Merger(tokenizer_file)
+        self.special = re.compile("(" + "|".join(map(re.escape, self.merger.added)) + ")") if self.merger.added else None
+        self.odd = Memo()
+
+    @cached_property
+    def tokenizer(self):
+        return library(self.merger.file)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text."""
+        with no_cycles():
+            return self._words(texts) if self.merger.suffix else list(map(self._whole, texts))
+
+    def _whole(self, text: str) -> bytes:
+        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _RUN.finditer(text)):
+            return library_ids(self.tokenizer, text)
+        if self.special is None or not self.special.search(text):
+            return self.merger.ordinary(text)
+        added = self.merger.added
+        return b"".join(array("H", [added[p]]).tobytes() if p in added else self.merger.ordinary(p) for p in self.special.split(text))
+
+    def _marked(self, text: str) -> bytes:
+        """Ids of a plain part."""
+        words = WORD.findall(text.lower())
+        return self.merger.ordinary("\0".join(words) + "\0") if words else b""
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        mixed = []
+        for i, text in enumerate(texts):
+            parts = odd_words(text)
+            if len(parts) > 1:
+                mixed.append((i, parts))
+            else:
+                out[i] = self._marked(text)
+        new = self.odd.missing({p for _, parts in mixed for p in parts[1::2]})
+        known = self.odd.now
+        for p in new:
+            known[p] = library_ids(self.tokenizer, p)
+        for i, parts in mixed:
+            out[i] = b"".join(known[p] if at % 2 else self._marked(p) for at, p in enumerate(parts))
+        self.odd.forget_long(new)
         return out
 
 
@@ -198,17 +221,11 @@ class PieceEncoder:
 
     @cached_property
     def tokenizer(self):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(self.merger.file)
-        t.no_truncation()
-        t.no_padding()
-        return t
+        return library(self.merger.file)
 
     def odd_piece(self, piece: str) -> bytes:
         """Ids of a piece that is not a plain word with marks."""
-        return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return library_ids(self.tokenizer, piece)
 
     def plain_words(self, words: list[str]) -> list[bytes]:
         return self.merger.merge(words)
@@ -279,6 +296,6 @@ class PieceEncoder:
         return out
 
 
-def piece_encoder(tokenizer_file: str) -> PieceEncoder:
+def text_encoder(tokenizer_file: str) -> TextEncoder:
     """One encoder per Python worker and file."""
-    return held(("pieces", tokenizer_file), lambda: PieceEncoder(tokenizer_file))
+    return held(("texts", tokenizer_file), lambda: TextEncoder(tokenizer_file))

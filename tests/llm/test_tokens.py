@@ -1,6 +1,7 @@
 """Operators 4, 8 and 10 against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from punctual.llm import lexicon, op4_packing, op8_token_files, op10_transducer_bpe, rans
 from punctual.llm.common import fresh_path
-from punctual.llm.tokens import Merger, PieceEncoder
+from punctual.llm.tokens import LONG_RUN, Merger, PieceEncoder, TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 rng = random.Random(1)
@@ -31,9 +32,39 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("file", [BYTE, WORD])
-def test_pieces_give_the_ids_of_whole_texts(file):
+@pytest.mark.parametrize("encoder", [PieceEncoder, TextEncoder])
+def test_ids_are_those_of_the_library(file, encoder):
     texts = [t or "" for t in TEXTS]
-    assert [np.frombuffer(b, "<u2").tolist() for b in PieceEncoder(file).encode(texts)] == library(file)
+    assert [np.frombuffer(b, "<u2").tolist() for b in encoder(file).encode(texts)] == library(file)
+
+
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_every_code_point_and_long_runs(file):
+    points = [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 97)]
+    texts = ["\n".join(f"x{chr(c)}Y 1{chr(c)}2 .{chr(c)}. {chr(c)}" for c in points[i:i + 300]) for i in range(0, len(points), 300)]
+    texts += [c * (3 * LONG_RUN) + "b" for c in "a.7 \n"] + ["ab" * LONG_RUN + "‘ " + "a ‘" * LONG_RUN]
+    assert [np.frombuffer(b, "<u2").tolist() for b in TextEncoder(file).encode(texts)] == library(file, texts)
+
+
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_every_token_comes_out_of_merging_its_own_bytes(file):
+    """What makes merging by joined bytes the same as merging by pairs: plain pair merging reaches every token."""
+    model = json.load(open(file, encoding="utf-8"))["model"]
+    rank = {tuple(m): r for r, m in enumerate(model["merges"])}
+    end = model["end_of_word_suffix"] or ""
+    assert [model["vocab"][a + b] for a, b in model["merges"]] == sorted(model["vocab"][a + b] for a, b in model["merges"])
+    for a, b in model["merges"]:
+        token = a + b
+        word = token.removesuffix(end)
+        parts = list(word)
+        if word != token:
+            parts[-1] += end
+        while len(parts) > 1:
+            r, i = min((rank.get((x, y), len(rank)), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if r == len(rank):
+                break
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [token]
 
 
 def test_long_words_merge_like_short_ones():
