@@ -19,7 +19,7 @@ from punctual.operators.ranking import uniform_rank
 CAPACITY = 4096
 END_ID = 2
 # Pieces of one length that one window task orders, about.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long, sequence_tokens int, padded_to int"
 
