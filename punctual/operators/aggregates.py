@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.labels import LATE, ON_TIME
+from punctual.operators.joins import broadcast_if_small
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order_col: str = "row_id",
@@ -56,14 +57,14 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 def balanced_weights(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
     """Weight n / (k * n_c) per row, as class_weight='balanced'.
 
-    The class table has one row per label value (a bounded domain), so it is
-    broadcast to the rows.
+    The class table has one row per label value and is broadcast behind a check
+    of its rows.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     whole = Window.partitionBy()  # over the k class rows only
     w = counts.select(label, (F.sum("_nc").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_nc")))
                       .alias(weight_col))
-    return df.join(F.broadcast(w), label)
+    return df.join(broadcast_if_small(w), label)
 
 
 def _cell(label: str, pred: str, a: int, b: int) -> Column:

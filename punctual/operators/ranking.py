@@ -34,7 +34,7 @@ def _bucket_splits(df: DataFrame, col: str, n_buckets: int | None) -> list[float
     n_buckets = n_buckets or bucket_count(df.count())
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    inner = sorted({float(q) for q in qs if q is not None})
+    inner = sorted({float(q) for q in qs if q is not None}) or [0.0]  # no rows: any bound will do
     return [float("-inf")] + inner + [float("inf")]
 
 

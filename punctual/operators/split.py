@@ -62,8 +62,9 @@ def stratified_folds(df: DataFrame, label: str = "label", key: str = "trip_key",
 def time_split(df: DataFrame, date_col: str = "date", key: str = "trip_key", test_size: float = 0.2,
                seed: int = 42, split_col: str = "split") -> DataFrame:
     """Rows with unparseable dates dropped; the first int((1-t)*n) rows by
-    (date, hash of key) train, the rest test.  Only the boundary day needs
-    row ranks; the cumulative count runs over the per-day table."""
+    (date, hash of key) train, the rest test.  Rows are counted per day, and on
+    the boundary day per bucket of the hash; only the bucket in which the
+    training rows end is ranked."""
     # A DATE is used as it is, so filters on it reach the scan; only other types are parsed.
     day = F.col(date_col) if dict(df.dtypes)[date_col] == "date" else parse_date(F.col(date_col))
     d = df.withColumn("_d", day).where(F.col("_d").isNotNull())
@@ -76,15 +77,14 @@ def time_split(df: DataFrame, date_col: str = "date", key: str = "trip_key", tes
     days.unpersist()  # the result below depends only on literals from here on
     if boundary is None:  # cutoff == n: everything trains
         return d.withColumn(split_col, F.lit(TRAIN)).drop("_d")
-    bday, need = boundary["_d"], boundary["_need"]
-    lit_day = F.lit(bday)
-    on_day = d.where(F.col("_d") == lit_day).withColumn("_u", uniform(F.col(key), f"time{seed}"))
-    ranked = uniform_rank(on_day, [], "_u", [key], "_rank")
-    ranked = ranked.withColumn(split_col, F.when(F.col("_rank") < need, F.lit(TRAIN)).otherwise(F.lit(TEST))) \
-                   .drop("_u", "_rank")
-    others = d.where(F.col("_d") != lit_day).withColumn(
-        split_col, F.when(F.col("_d") < lit_day, F.lit(TRAIN)).otherwise(F.lit(TEST)))
-    return others.unionByName(ranked).drop("_d")
+    # The boundary day's last training row by (hash, key); every other row is told by literals, none moves.
+    bday, need = F.lit(boundary["_d"]), boundary["_need"]
+    u = uniform(F.col(key), f"time{seed}")
+    quota = df.sparkSession.range(1).select(bday.alias("_d"), F.lit(need).alias("_quota"))
+    last = smallest_of_group(d.where(F.col("_d") == bday).withColumn("_u", u), "_d", "_u", key, quota).first()
+    early = F.lit(False) if last is None else (u < last["_u_last"]) | (u == last["_u_last"]) & (F.col(key) <= F.lit(last["_tie_last"]))
+    train = (F.col("_d") < bday) | (F.col("_d") == bday) & early
+    return d.withColumn(split_col, F.when(train, F.lit(TRAIN)).otherwise(F.lit(TEST))).drop("_d")
 
 
 def with_group_key(df: DataFrame, group_col: str = "group", feature_cols: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from punctual.functions.hashing import uniform
 from punctual.operators import encode as E
 from punctual.operators import split as S
 from punctual.operators.ranking import smallest_of_group
@@ -28,6 +29,19 @@ def test_stratified_split_shuffles_no_row(spark):
     assert S.stratified_split(df.limit(0)).count() == 0
 
 
+def test_time_split_moves_no_row_and_equals_plain_order(spark):
+    rows = [(f"k{i}", f"2024-01-{1 + i * i % 3:02d}" if i % 50 else None, "carried") for i in range(900)]
+    df = spark.createDataFrame(rows, "trip_key string, date string, carried string")
+    order = {r.trip_key: r.u for r in df.select("trip_key", uniform(F.col("trip_key"), "time42").alias("u")).collect()}
+    ranked = [k for _, _, k in sorted((d, order[k], k) for k, d, _ in rows if d)]
+    for size in (0.0, 0.1, 0.5, 0.97, 1.0):
+        out = S.time_split(df, test_size=size)
+        got = {r.trip_key for r in out.where("split = 'train'").collect()}
+        assert got == set(ranked[:int((1 - size) * len(ranked))]) and out.count() == len(ranked)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert S.time_split(df.limit(0)).count() == 0
+
+
 def test_dictionary_equals_sorted_levels(spark):
     df = spark.range(3000).select(F.concat(F.lit("é"), F.col("id") % 997).alias("a"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("b"))
     got = {(r.column_name, r.level): r.slot for r in E.dictionary(df, ["a", "b"]).collect()}
