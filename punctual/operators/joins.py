@@ -17,6 +17,16 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 DENSE_BUCKETS = 1 << 15
 
 
+# Rows of a shuffled partition; larger ones are sorted in parts on disk.
+PARTITION_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into partitions for ``rows`` rows, where the session's number of partitions would be too small."""
+    parts = -(-rows // PARTITION_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Broadcast hint only behind a checked row bound; otherwise leave the
     choice to the planner (sort-merge or AQE's runtime conversion).  ``rows``
@@ -45,7 +55,7 @@ def dense_index_with_count(df: DataFrame, key_cols: Sequence[str], index_col: st
         (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
     w = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in key_cols])
-    out = (b.join(F.broadcast(offsets), "_bucket")  # B rows: bounded by the parameter
+    out = (spread(b, int(n), "_bucket").join(F.broadcast(offsets), "_bucket")  # B rows: bounded by the parameter
              .withColumn(index_col, F.col("_off") + F.row_number().over(w) - F.lit(1))
              .drop("_bucket", "_off"))
     return out, int(n)

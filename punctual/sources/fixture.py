@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions.common import flag
 from punctual.functions.hashing import sql_uniform, uniform
-from punctual.operators.joins import broadcast_if_small
+from punctual.operators.joins import broadcast_if_small, spread
 from punctual.session import shared_path
 from punctual.sources.tables import read_table, table_path
 
@@ -39,6 +39,8 @@ def _d(c: Column | int | float) -> Column:
 
 
 FIXTURE_VERSION = "trips-v2"
+# Trips per file: a scan task packs several files, so it reads a bounded number of rows.
+FILE_ROWS = 100_000
 SOURCE_TABLES = ["lineitem", "orders", "part", "supplier", "nation", "region"]
 _MATERIALIZED: dict[str, str] = {}
 
@@ -80,10 +82,8 @@ def trips(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
         fs, p = _hadoop_fs(spark, path)
         if not fs.exists(_hadoop_fs(spark, f"{path}/_SUCCESS")[1]):
             tmp = shared_path(spark, f"trips-{key}-{uuid.uuid4().hex[:8]}.tmp")
-            # Range-clustered by (date, key): parallel files, date-pruned row groups for
-            # time filters, and a date holding a third of the rows still splits by key.
-            (build_trips(spark, sf_dir).repartitionByRange(F.col("date"), F.col("trip_key"))
-             .write.mode("overwrite").parquet(tmp))
+            # Written as the joins leave the rows: clustering them would shuffle the whole table once more.
+            build_trips(spark, sf_dir).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(tmp)
             if not fs.rename(_hadoop_fs(spark, tmp)[1], p):  # another writer won the race
                 path = tmp
         _MATERIALIZED[key] = path
@@ -106,8 +106,9 @@ def build_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = supplier.join(broadcast_if_small(geo, 10_000),
                         supplier.s_nationkey == geo.n_nationkey) \
         .select("s_suppkey", "r_name")
-    b = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-           .join(part, li.l_partkey == part.p_partkey)
+    n = li.count()  # from the files' footers
+    b = (spread(li, n, "l_orderkey").join(spread(orders, n, "o_orderkey"), li.l_orderkey == orders.o_orderkey))
+    b = (spread(b, n, "l_partkey").join(spread(part, n, "p_partkey"), li.l_partkey == part.p_partkey)
            .join(sup, li.l_suppkey == sup.s_suppkey))
 
     ec = F.round(F.col("l_extendedprice") * 100).cast("bigint")
