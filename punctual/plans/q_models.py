@@ -272,7 +272,8 @@ def _s_bucket_slots() -> str:
 @register("engine_bucket_slot_counts", ["M2", "M3", "M5", "M6"], _s_bucket_slots())
 def engine_bucket_slot_counts(spark, sf):
     """Rows with a value other than zero in every slot of the bucket-hour encoding of the builder's output."""
-    d = _bucket_features(spark, sf)
+    # Read by the scaler, the vocabulary and the counts: kept, so that the trips are built once.
+    d = _bucket_features(spark, sf).select(*_BUCKET.categorical, *_BUCKET.numeric).persist()
     enc = E.fit_encoder(d, _BUCKET)
     slots = enc.transform(d).select(F.posexplode(vector_to_array("features")).alias("slot", "value"))
     names = F.array(*[F.lit(n) for n in E.feature_names(enc, _BUCKET)])
