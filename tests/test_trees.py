@@ -155,3 +155,60 @@ def test_saved_ensemble_scores_alike(spark, rows, tmp_path):
         a = M.score(model, d, keep=["trip_key"]).collect()
         assert {r.trip_key: r.score for r in a} == {r.trip_key: r.score for r in M.score(back, d, keep=["trip_key"]).collect()}
         assert back.kind == kind and back.names == model.names
+
+
+def test_larger_children_are_told_by_their_siblings(rows, monkeypatch):
+    _, enc, encoded = rows
+    blocks = T.Blocks(encoded, T.layout_of(encoded, enc, SPEC), "label", "weight", None, "trip_key")
+    added, asked, chosen = T._level, [], []
+
+    def level(blocks, job, trees, given, depth, width, parents, sums_of):
+        told = T._told_by_siblings(job, trees, parents)
+        alone = added(blocks, job, trees, given, depth, width, {}, {})
+        out = added(blocks, job, trees, given, depth, width, parents, sums_of)
+        asked.append((sum(len(n) for _, n in job), len(told)))
+        chosen.extend(zip(alone, out))
+        return out
+
+    monkeypatch.setattr(T, "_level", level)
+    try:
+        T.grow(blocks, [T.Plan(T.Rule("newton", 5, l2=1.0, min_child=1.0, rate=0.05, subsample=0.8), 2)])
+    finally:
+        blocks.close()
+    assert sum(told for _, told in asked) > 10 and all(2 * told <= nodes for nodes, told in asked)
+    for (totals, splits), (totals_, splits_) in chosen:
+        assert (totals == totals_).all() and all((a == b).all() for a, b in zip(splits, splits_))
+
+
+def test_workers_read_what_another_noted(rows, monkeypatch, tmp_path):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    rng = np.random.default_rng(1)
+    layout = T.Layout([], [], ["a", "b"], [[0.0, 1.0], [0.5]])
+    block = {"codes": layout.codes([rng.normal(size=500), rng.normal(size=500)]), "y": (rng.random(500) < 0.4).astype(float), "w": np.ones(500),
+             "fold": np.zeros(500, int), "key": np.arange(500, dtype=np.uint64), "margin": {}, "name": "run-0"}
+    rule = T.Rule("newton", 2, l2=1.0, subsample=0.8)
+    tree = T.Tree()
+    calls = []
+    plain = T._stats
+    monkeypatch.setattr(T, "_stats", lambda *a: calls.append(1) or plain(*a))
+    for filed in (True, False):
+        plan = {"id": 0, "rule": rule, "base": 0.0, "fold": T.NONE, "seed": 7, "done": [], "renewed": 0, "filed": filed}
+        got = [T._state(block, plan, tree.arrays(), 0) for _ in range(3)]
+        assert all((s == plain(rule, block, plan, np.zeros(500))).all() and (at == 0).all() for s, at in got)
+        assert len(calls) == (1 if filed else 4)  # without a file and with many ensembles: each time
+    assert len(list(tmp_path.iterdir())) == 2
+    T._forget(block)
+    assert not list(tmp_path.iterdir())
+
+
+def test_two_sums_in_one_are_exact():
+    rng = np.random.default_rng(2)
+    layout = T.Layout([], [], ["a"], [[0.0, 1.0]])
+    codes, node = layout.codes([rng.normal(size=3000)]), rng.integers(0, 3, 3000)
+    for h in (rng.integers(0, 2**20, 3000) * T.STEP, rng.integers(0, 5, 3000).astype(float), rng.random(3000), -rng.random(3000), np.full(3000, 2.0**40)):
+        count = (rng.random(3000) < 0.8).astype(float)
+        stats = np.stack([rng.normal(size=3000), h * count, count], 1)
+        index, sums = T.cells(codes, node, stats, 3, layout)
+        for i, s in zip(index, sums):
+            mine = (node == i // 4) & (codes[:, 0] == i % 4)
+            assert s[2] == count[mine].sum() and np.isclose(s[0], stats[mine, 0].sum()) and np.isclose(s[1], stats[mine, 1].sum(), rtol=1e-12, atol=0)
