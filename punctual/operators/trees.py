@@ -501,10 +501,14 @@ class Blocks:
                               (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
                               (F.col(fold).cast("int") if fold else F.lit(NONE - 1)).alias("fold"),
                               F.xxhash64(key if key else F.struct(*columns, label)).alias("key"))
-        count = rows.count()
-        self.rows = count
+        sizes = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        self.rows = count = sum(sizes)
         cores = encoded.sparkSession.sparkContext.defaultParallelism
-        self.parts = parts = max(1, min(-(-count // BLOCK_ROWS), max(cores, -(-count // BLOCK_ROWS_MOST))))
+        parts = max(1, min(-(-count // BLOCK_ROWS), max(cores, -(-count // BLOCK_ROWS_MOST))))
+        # Many rows that lie evenly are cut into blocks where they are.
+        stay = parts > cores and len(sizes) >= cores and max(sizes) <= 2 * count / len(sizes)
+        most = BLOCK_ROWS_MOST if stay else max(1, count)
+        self.parts = sum(-(-n // most) for n in sizes) if stay else parts
         n, one = len(columns), layout
         kind = np.uint16 if int(layout.offsets[-1]) < 2**16 else np.int32
         run = uuid.uuid4().hex
@@ -514,22 +518,34 @@ class Blocks:
         # The code that every level runs is sent once.
         self.level_code = self.spark.sparkContext.broadcast((run, cloudpickle.dumps(partial(_sums_of_groups, layout))))
 
+        def block_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            got = pa.Table.from_batches(held)
+            x = [got.column(f"c{i}").fill_null(float("nan")).to_numpy() for i in range(n)]
+            return pa.RecordBatch.from_pydict({
+                "codes": [np.ascontiguousarray(one.codes(x).astype(kind).T).tobytes()], "y": [got.column("y").to_numpy().tobytes()],
+                "w": [got.column("w").to_numpy().tobytes()], "fold": [got.column("fold").to_numpy().astype(np.int32).tobytes()],
+                "key": [got.column("key").to_numpy().astype(np.int64).tobytes()]})
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-            if got is not None:
-                x = [got.column(f"c{i}").fill_null(float("nan")).to_numpy() for i in range(n)]
-                yield pa.RecordBatch.from_pydict({
-                    "codes": [np.ascontiguousarray(one.codes(x).astype(kind).T).tobytes()], "y": [got.column("y").to_numpy().tobytes()],
-                    "w": [got.column("w").to_numpy().tobytes()], "fold": [got.column("fold").to_numpy().astype(np.int32).tobytes()],
-                    "key": [got.column("key").to_numpy().astype(np.int64).tobytes()]})
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                while b.num_rows:
+                    room = most - sum(h.num_rows for h in held)
+                    held.append(b.slice(0, room))
+                    b = b.slice(room)
+                    if sum(h.num_rows for h in held) == most:
+                        yield block_of(held)
+                        held = []
+            if held:
+                yield block_of(held)
 
         def unpack(part: int, found: Iterator) -> Iterator[dict]:
-            for r in found:  # one at most
+            for i, r in enumerate(found):
                 yield {"codes": np.frombuffer(r.codes, kind).reshape(n, len(r.y) // 8).T, "y": np.frombuffer(r.y), "w": np.frombuffer(r.w),
-                       "fold": np.frombuffer(r.fold, np.int32), "key": np.frombuffer(r.key, np.int64).view(np.uint64), "margin": {}, "name": f"{run}-{part}"}
+                       "fold": np.frombuffer(r.fold, np.int32), "key": np.frombuffer(r.key, np.int64).view(np.uint64), "margin": {}, "name": f"{run}-{part}.{i}"}
 
         binary = "codes binary, y binary, w binary, fold binary, key binary"
-        self.blocks: RDD = rows.repartition(parts).mapInArrow(pack, binary).rdd.mapPartitionsWithIndex(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks: RDD = (rows if stay else rows.repartition(parts)).mapInArrow(pack, binary).rdd.mapPartitionsWithIndex(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         if self.filed:

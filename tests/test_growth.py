@@ -110,3 +110,24 @@ def test_spread_bounds_rows_of_a_partition(spark, monkeypatch):
     assert J.spread(d, 2000, "k").rdd.getNumPartitions() == 20 and J.spread(d, 700, "k") is d
     got = J.dense_index(d, ["k"], "i").agg(F.min("i"), F.max("i"), F.countDistinct("i")).first()
     assert tuple(got) == (0, 1999, 2000)
+
+
+@pytest.mark.parametrize("most", [70, 400_000])
+def test_many_rows_that_lie_evenly_are_cut_where_they_are(spark, rows, monkeypatch, most):
+    d = rows.select("trip_key", "label", "a", "x").repartition(40).persist()
+    enc = E.fit_encoder(d, SPEC)
+    encoded = enc.transform(d)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(T, "BLOCK_ROWS_MOST", most)
+    monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 4)
+    moved = []
+    monkeypatch.setattr(encoded.__class__, "repartition", lambda self, *a, real=encoded.__class__.repartition: moved.append(a) or real(self, *a))
+    blocks = T.Blocks(encoded, T.layout_of(encoded, enc, SPEC), "label", None, None, "trip_key")
+    try:
+        found = blocks.blocks.map(lambda b: (b["name"], len(b["y"]), b["key"].tolist())).collect()
+    finally:
+        blocks.close()
+        d.unpersist()
+    keys = [k for _, _, some in found for k in some]
+    assert len(keys) == len(set(keys)) == d.count() == blocks.rows and len({name for name, _, _ in found}) == len(found) == blocks.parts
+    assert max(n for _, n, _ in found) <= most and bool(moved) == (most > 70)
