@@ -212,3 +212,50 @@ def test_two_sums_in_one_are_exact():
         for i, s in zip(index, sums):
             mine = (node == i // 4) & (codes[:, 0] == i % 4)
             assert s[2] == count[mine].sum() and np.isclose(s[0], stats[mine, 0].sum()) and np.isclose(s[1], stats[mine, 1].sum(), rtol=1e-12, atol=0)
+
+
+def test_columns_are_counted_together(monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 700)
+    rng = np.random.default_rng(4)
+    layout = T.Layout(["a", "b", "c"], [3, 40, 5], ["x", "y"], [list(np.arange(200) + 0.5), [0.0, 1.0]])
+    codes = layout.codes([rng.integers(-1, 6, 4000).astype(float), rng.integers(0, 40, 4000).astype(float), rng.integers(0, 5, 4000).astype(float),
+                          rng.integers(0, 201, 4000).astype(float), np.where(rng.random(4000) < 0.1, np.nan, rng.normal(size=4000))]).astype(np.uint16)
+    assert sorted(j for g in T.together(layout.widths) for j in g) == list(range(5)) and len(T.together(layout.widths)) < 4
+    node, rows = rng.integers(0, 3, 4000), np.flatnonzero(rng.random(4000) < 0.7)
+    use = rng.integers(0, 3, 4000).astype(float)
+    exact = [rng.integers(-2**20, 2**20, 4000) * T.STEP * use, rng.integers(0, 2**20, 4000) * T.STEP * use]
+    for stats in ([*exact, use], [exact[0], use, use, exact[1]], [use * (node > 0), use, (use > 0).astype(float)]):
+        stats = np.stack(stats, 1)
+        for quantum in (None, T.STEP):
+            got = T.joint_cells(T.joint_codes(codes, layout), node, stats, 3, layout, rows, quantum)
+            assert all(np.array_equal(a, b) for a, b in zip(got, T.cells(codes, node, stats, 3, layout, rows)))
+
+
+def test_lost_files_are_written_again(rows, monkeypatch):
+    _, enc, encoded = rows
+    layout = T.layout_of(encoded, enc, SPEC)
+    rule = T.Rule("newton", 3, l2=1.0, subsample=0.8)
+
+    def grown(lose: bool, filed: int) -> list[dict]:
+        monkeypatch.setattr(T, "FILED", filed)
+        blocks, plan, known = T.Blocks(encoded, layout, "label", None, None, None), T.Plan(rule, 5), T.Blocks.of_level
+        calls, kept = [], []
+        monkeypatch.setattr(T.Blocks, "keep", lambda self, plans, f=T.Blocks.keep: kept.append(1) or f(self, plans))
+
+        def of_level(self, sent):
+            calls.append(1)
+            if lose and len(calls) in (2, 8):
+                self.kept.foreach(lambda name: T._forget({"name": name}))
+            return known(self, sent)
+
+        with monkeypatch.context() as m:
+            m.setattr(T.Blocks, "of_level", of_level)
+            T.grow(blocks, [plan])
+        blocks.close()
+        assert len(kept) == (0 if not filed else 3 if lose else 1) and bool(calls) == bool(filed)
+        monkeypatch.undo()
+        return [t.arrays() for t in plan.trees]
+
+    plain = grown(False, 0)
+    for got in (grown(False, 1 << 30), grown(True, 1 << 30)):
+        assert all(np.array_equal(a[k], b[k]) for a, b in zip(plain, got) for k in a)
