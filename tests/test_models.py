@@ -140,3 +140,50 @@ def test_fits_are_shared_by_snapshot(spark, sf):
     d = EX.engine_features(trips(spark, sf))[0]
     fit = lambda name: M.train_shared(d, EX.CLI_SPEC, "tree", {"max_depth": 2}, snapshot=name).classifier.uid
     assert fit("a") == fit("a") and fit("a") != fit("b")
+
+
+def test_engine_keeps_one_narrow_copy(spark, sf, monkeypatch):
+    from punctual.operators import models as M
+    from punctual.plans import experiments as EX
+    from punctual.sources.fixture import trips
+    seen, plain = [], M.train
+
+    def train(df, *args, **kwargs):
+        before = spark.sparkContext._jsc.getPersistentRDDs().size()
+        out = plain(df, *args, **kwargs)
+        seen.append((df.columns, df.storageLevel.useMemory, spark.sparkContext._jsc.getPersistentRDDs().size() - before))
+        return out
+
+    monkeypatch.setattr(M, "train", train)
+    r = EX.run_engine(trips(spark, sf), "no such model")
+    read = {*EX.ENGINE_NUMERIC_HOUR.categorical, *EX.ENGINE_NUMERIC_HOUR.numeric, "label"}
+    assert set(r["test"].columns) == read | {"trip_key"}
+    (columns, kept, more), = seen
+    assert set(columns) == read | {"fold"} and kept and more <= 0
+
+
+def test_trips_let_go_of_their_shuffles(spark, sf, monkeypatch, tmp_path):
+    import shutil
+    from punctual.sources import fixture
+    shutil.copytree(sf, tmp_path / "tables")
+    calls = []
+    monkeypatch.setattr(fixture, "release", lambda s: calls.append(s))
+    for _ in range(2):
+        assert fixture.trips(spark, str(tmp_path / "tables")).count() == fixture.trips(spark, sf).count()
+    assert calls == [spark]
+
+
+def test_even_rows_become_linear_blocks_where_they_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from punctual.operators import encode as E
+    from punctual.operators import logistic as L
+    spec = E.EncodingSpec(["c"], ["x"])
+    parts = spark.sparkContext.defaultParallelism + 2
+    df = spark.range(0, 100 * parts, 1, parts).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"), (F.col("id") % 7).cast("double").alias("x"),
+                                                      (F.col("id") % 2).cast("int").alias("label"))
+    enc = E.fit_encoder(df, spec)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(L, "BLOCK_ROWS_MOST", 70)
+    rows = L.Rows(enc.transform(df), enc, spec, "label", None)
+    assert rows.count == 100 * parts and rows.blocks.map(lambda b: len(b["y"])).collect() == [70, 30] * parts
+    rows.close()

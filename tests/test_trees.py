@@ -259,3 +259,16 @@ def test_lost_files_are_written_again(rows, monkeypatch):
     plain = grown(False, 0)
     for got in (grown(False, 1 << 30), grown(True, 1 << 30)):
         assert all(np.array_equal(a[k], b[k]) for a, b in zip(plain, got) for k in a)
+
+
+@pytest.mark.parametrize("kind, candidates", [("Decision Tree Classifier", [{"max_depth": 3}, {"max_depth": None}]),
+                                              ("Random Forest Classifier", [{"n_estimators": 3, "max_depth": d, "min_samples_split": 5} for d in (4, None)])])
+def test_folds_one_after_another_find_the_same(rows, monkeypatch, kind, candidates):
+    _, enc, encoded = rows
+    monkeypatch.setattr(T, "LOCAL_ROWS", 200)
+    at_once = T.search(encoded, enc, SPEC, kind, candidates, [0, 1, 2], key="trip_key")
+    groups, grow = [], T.grow
+    monkeypatch.setattr(T, "grow", lambda blocks, plans, together, finish: groups.append((len(plans), together)) or grow(blocks, plans, together, finish))
+    monkeypatch.setattr(T, "SHUFFLED", 1)
+    assert T.search(encoded, enc, SPEC, kind, candidates, [0, 1, 2], key="trip_key") == at_once
+    assert groups == [(1, 1)] * 3
